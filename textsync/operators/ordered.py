@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsync.session import stage
+
 SLAB = 8192
 
 
@@ -124,3 +126,39 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slabs: list[Column],
 def slabs_of(order: Column, size: int = SLAB, levels: int = 1) -> list[Column]:
     """Slabs of a numeric order column, each level ``size`` times coarser than the one before."""
     return [F.floor(order / size ** (i + 1)).cast("bigint") for i in range(levels)]
+
+
+def fold_slabs(rows: DataFrame, entries: DataFrame, keys: list[str], order: str, step, schema: str,
+               first: int = 0, repair=None) -> DataFrame:
+    """An ordered fold with one long of state, run on all slabs of all groups at once.
+
+    ``rows`` carry ``slab``; ``entries`` hold (keys, slab, entry, …) with a guess of the state each
+    slab starts from. ``step(pandas frame of one slab)`` returns rows of ``schema``, which must keep the
+    keys, ``slab``, the order column and the state after the row as ``state``. A slab whose guess
+    differs from the state its predecessor ended with is run again from that state, until none is left:
+    the result is then the one-pass result. Every round settles at least one more slab per group, and a
+    slab usually ends in the same state wherever near it started, so few rounds are needed.
+
+    ``repair(result, rows)`` may return replaced ``rows`` and the (keys, slab) to run again.
+    """
+    on = [*keys, "slab"]
+
+    def run(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        return rows.join(entries, on).groupBy(*on).applyInPandas(step, schema)
+
+    done = stage(run(rows, entries))
+    while True:
+        ends = done.groupBy(*on).agg(F.max_by("state", order).alias("exit"))
+        checked = scan(
+            entries.join(ends, on), keys, ["slab"], slabs_of(F.col("slab")), due=last_before(F.col("exit"))
+        ).withColumn("due", F.coalesce("due", F.lit(first).cast("bigint")))
+        stale = F.col("due") != F.col("entry")
+        if repair:
+            rows, redo = repair(done, rows)
+            checked = checked.join(redo.withColumn("redo", F.lit(True)), on, "left")
+            stale = stale | F.col("redo").isNotNull()
+        again = stage(checked.where(stale).select(*entries.columns, "due")).withColumn("entry", F.col("due")).drop("due")
+        if again.isEmpty():
+            return done
+        entries = stage(entries.join(again, on, "left_anti").unionByName(again))
+        done = stage(done.join(again, on, "left_anti").unionByName(run(rows, again)))
