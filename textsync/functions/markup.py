@@ -66,7 +66,7 @@ def unescape(c: Column) -> Column:
     return F.replace(c, F.lit("&\u0001#"), F.lit("&#"))
 
 
-def _visible(html: Column) -> Column:
+def visible_markup(html: Column) -> Column:
     """Comments, declarations and hidden subtrees removed; CDATA kept as escaped text."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     pieces = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<|[^<]+"), F.lit(0))
@@ -89,7 +89,7 @@ def _visible(html: Column) -> Column:
 
 def markup_to_text(html: Column) -> Column:
     """Visible text of a page: one line per block, whitespace runs squeezed, references decoded."""
-    c = F.regexp_replace(_visible(html), f"{SPACE}+", " ")
+    c = F.regexp_replace(visible_markup(html), f"{SPACE}+", " ")
     names = "|".join(LINE_TAGS)
     c = F.regexp_replace(c, f"</?{PREFIX}(?:{names})(?:\\s[^>]*)?/?>", "\n")
     c = F.regexp_replace(c, r"<[^>]*>", "")
