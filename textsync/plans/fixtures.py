@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.functions.text import idiv, trim_space
-from textsync.operators.ordered import scan, total_before
+from textsync.functions.text import hint_list, idiv, trim_space
+from textsync.operators.ordered import next_after, scan, total_before
+from textsync.operators.tokens import blocks_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,16 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block cut in slices of twelve words, numbered through the book."""
     words = lambda line: F.filter(F.split(trim_space(line), " +"), lambda w: w != "")
-    cut = lambda ws: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 12).cast("int")),
-        lambda i: F.slice(ws, i * 12 + 1, F.lit(12)),
+    cut = lambda line: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(line.words) - 1) / 12).cast("int")),
+        lambda i: F.struct(
+            line.line_index.alias("line_index"), i.alias("part"), F.slice(line.words, i * 12 + 1, F.lit(12)).alias("words")
+        ),
     )
-    lines = F.filter(F.transform(F.split("text", "\n"), words), lambda ws: F.size(ws) > 0)
+    numbered_lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_index"), words(x).alias("words")))
+    lines = F.filter(numbered_lines, lambda x: F.size(x.words) > 0)
     packed = sections(spark, sf_dir).select(
-        "book_id", "section_ord", F.flatten(F.transform(lines, cut)).alias("slices")
+        "book_id", "section_ord", "href", F.flatten(F.transform(lines, cut)).alias("slices")
     )
     numbered = scan(
         packed.select("book_id", "section_ord", F.size("slices").alias("n")),
@@ -50,12 +54,10 @@ def word_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("book_id", "section_ord", "offset")
     return (
         packed.join(numbered, ["book_id", "section_ord"])
-        .select("book_id", "section_ord", "offset", F.posexplode("slices").alias("pos", "words"))
+        .select("book_id", "section_ord", "href", "offset", F.posexplode("slices").alias("pos", "s"))
         .select(
-            "book_id",
-            (F.col("offset") + F.col("pos")).cast("bigint").alias("seg"),
-            "section_ord",
-            "words",
+            "book_id", (F.col("offset") + F.col("pos")).cast("bigint").alias("seg"), "section_ord", "href",
+            "s.line_index", "s.part", "s.words",
         )
     )
 
@@ -84,3 +86,116 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("start_ms") + F.col("ms")).cast("bigint").alias("end_ms"),
         F.array_join(words, " ").alias("text"),
     )
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment the slices themselves define: every seventh slice, the first two and the last two
+    of a book count as unmatched, all others match where they were cut from."""
+    slices = word_slices(spark, sf_dir)
+    sizes = slices.groupBy("book_id").agg(F.count("*").alias("n"))
+    spoken = F.size("words") * 200
+    timed = scan(
+        slices.withColumn("ms", spoken), ["book_id"], ["seg"], [F.floor(F.col("seg") / 4096)],
+        start_ms=total_before(F.col("ms") + 100),
+    ).join(sizes, "book_id")
+    lost = (F.col("seg") % 7 == 6) | (F.col("seg") < 2) | (F.col("seg") >= F.col("n") - 2)
+    at = lambda offset: F.when(~lost, F.struct("href", "line_index", offset.cast("int").alias("char_offset")))
+    return timed.select(
+        "book_id", "seg", F.col("start_ms").cast("bigint").alias("start_ms"),
+        (F.col("start_ms") + F.col("ms")).cast("bigint").alias("end_ms"),
+        F.array_join("words", " ").alias("text"), F.size("words").alias("n_tokens"),
+        F.when(lost, "unmatched").otherwise("matched").alias("status"),
+        F.when(~lost, F.lit(100.0) - F.col("seg") % 3).alias("match_percent"),
+        at(F.col("part") * 12).alias("book_start"), at(F.col("part") * 12 + F.size("words")).alias("book_end"),
+    )
+
+
+def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of a book spoken at 0.2 s each, with a pause before every 17th, in chunks of 25 s."""
+    slices = scan(
+        word_slices(spark, sf_dir), ["book_id"], ["seg"], [F.floor(F.col("seg") / 4096)],
+        first=total_before(F.size("words")),
+    )
+    words = slices.select("book_id", "first", F.posexplode("words").alias("at", "word"))
+    n = (F.col("first") + F.col("at")).cast("bigint")
+    words = words.select("book_id", n.alias("n"), "word").withColumn("ms", F.col("n") * 200 + idiv(F.col("n"), 17) * 800)
+    local = F.col("ms") % 25000
+    return words.select(
+        "book_id", idiv(F.col("ms"), 25000).alias("chunk_idx"), F.col("n").alias("pos"), "word",
+        (local / 1000).alias("start"), ((local + 200) / 1000).alias("end"),
+        F.lit(0.9).alias("probability"), F.lit(25200).cast("bigint").alias("duration_ms"),
+    )
+
+
+def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each conversation turn as half-second segments of a chunk; system turns are silent."""
+    turns = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    lines = F.filter(F.transform(F.split("text", "\n"), trim_space), lambda x: x != "")
+    return turns.select(
+        F.col("conv_id").alias("book_id"), F.col("turn").cast("bigint").alias("chunk_idx"), "role", F.posexplode(lines).alias("pos", "text")
+    ).select(
+        "book_id", "chunk_idx", "pos", F.when(F.col("role") == "assistant", "en").alias("language"),
+        (F.col("pos") * 500).cast("bigint").alias("start_ms"), (F.col("pos") * 500 + 500).cast("bigint").alias("end_ms"), "text",
+    )
+
+
+def chunk_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("bigint")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("book_id"), turn.alias("chunk_idx"), (turn * 25000).alias("start_ms"), (turn * 25000 + 25000).alias("end_ms")
+    ).distinct()
+
+
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as marks on a scaled timeline (book_id, t, event_id, event_type)."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("book_id"), "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    )
+    first = events.groupBy("book_id").agg(F.min("us").alias("first"))
+    return events.join(first, "book_id").select("book_id", idiv(F.col("us") - F.col("first"), 10**7).alias("t"), "event_id", "event_type")
+
+
+def timeline_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timelines(spark, sf_dir).groupBy("book_id").agg(F.max("t").alias("duration_ms")).where("duration_ms > 0")
+
+
+def timeline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timelines(spark, sf_dir).where("event_type = 'purchase'").select("book_id", F.col("t").alias("boundary_ms"))
+
+
+def timeline_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error opens a silence that the next event closes."""
+    rows = scan(
+        timelines(spark, sf_dir), ["book_id"], ["t", "event_id"], [idiv(F.col("t"), 50000)], until_ms=next_after(F.col("t"))
+    )
+    return rows.where("event_type = 'error' and until_ms is not null").select("book_id", F.col("t").alias("from_ms"), "until_ms")
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth block counts as a figure whose caption is the block's text."""
+    blocks = blocks_of(sections(spark, sf_dir)).where("block_ord % 5 = 0")
+    image = F.concat(F.lit("img/"), F.col("book_id"), F.lit("-"), F.col("block_ord"))
+    return blocks.select(
+        "book_id", F.col("href").alias("document_href"), image.alias("image_href"), F.col("line_index").alias("image_ordinal"),
+        hint_list(F.array("text")).alias("hints"),
+        F.lit("image/png").alias("media_type"), (F.col("block_ord") % 50 * 1000000).cast("bigint").alias("size"),
+    )
+
+
+def spine_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections(spark, sf_dir).select("book_id", F.col("section_ord").cast("bigint").alias("spine_ord"), F.col("href").alias("document_href"))
+
+
+def stage_inputs(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+    """One book per document: its text is the source, its ``source`` names the backends. In the changed
+    version every tenth document has another text and every seventh another alignment backend."""
+    doc = F.col("doc_id")
+    edit = lambda c, n, k: F.when(doc % n == k, F.concat(c, F.lit("!"))).otherwise(c) if changed else c
+    return table(spark, sf_dir, "documents").select(
+        doc.alias("book_id"), F.sha2(edit(F.col("text"), 10, 3), 256).alias("epub_source"),
+        F.concat(F.lit("audio-"), doc).alias("audiobook_source"),
+        F.col("source").alias("transcription_backend"),
+        edit(F.concat(F.lit("align-"), F.col("source")), 7, 2).alias("alignment_backend"),
+        F.lit("ocr-1").alias("ocr_backend"), F.lit("audio-1").alias("audio_backend"), F.lit("epub-1").alias("epub_backend"),
+        F.col("lang").alias("language"), F.lit("base").alias("model"), F.lit("Smart").alias("policy"), F.lit("Copy").alias("encoding"),
+    )
