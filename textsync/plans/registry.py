@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from textsync.plans import text_oracle, text_queries
+from textsync.plans import book_oracle, book_queries, text_oracle, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE = {**text_oracle.ORACLE}
+QUERIES = {**text_queries.QUERIES, **book_queries.QUERIES}
+ORACLE = {**text_oracle.ORACLE, **book_oracle.ORACLE}

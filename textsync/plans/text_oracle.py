@@ -172,6 +172,14 @@ rec AS (
 al AS (SELECT book_id, seg, L, CASE WHEN hit.score >= 0 THEN hit.s END AS s, CASE WHEN hit.score >= 0 THEN hit.e END AS e,
     CASE WHEN hit.score >= 0 THEN hit.score END AS score FROM rec WHERE seg >= 0)"""
 
+TRUTH = f"""WITH {SLICE}, truth AS (
+  SELECT book_id, seg, start_ms, (start_ms + ms)::BIGINT AS end_ms, text, n_tokens, CASE WHEN lost THEN 'unmatched' ELSE 'matched' END AS status,
+    CASE WHEN NOT lost THEN 100.0::DOUBLE - seg % 3 END AS match_percent, CASE WHEN NOT lost THEN href END AS href, CASE WHEN NOT lost THEN line_index END AS line_index,
+    CASE WHEN NOT lost THEN part * 12 END AS start_char, CASE WHEN NOT lost THEN part * 12 + n_tokens END AS end_char
+  FROM (SELECT *, coalesce(sum(len(words) * 200 + 100) OVER (PARTITION BY book_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms,
+      len(words) * 200 AS ms, array_to_string(words, ' ') AS text, len(words) AS n_tokens,
+      seg % 7 = 6 OR seg < 2 OR seg >= count(*) OVER (PARTITION BY book_id) - 2 AS lost FROM slice))"""
+
 ORACLE = {
     "blocks": f"WITH {BLK} SELECT * FROM blk",
     "token_positions": f"{POSITIONS} SELECT * FROM pos",
@@ -231,11 +239,11 @@ SELECT al.book_id, al.seg, CASE WHEN s IS NULL THEN 'unmatched' ELSE 'matched' E
   'doc/' || (al.book_id * 5 + a.section_ord) AS start_href, a.line_index AS start_line_index, a.start_char AS start_char_offset,
   'doc/' || (al.book_id * 5 + b.section_ord) AS end_href, b.line_index AS end_line_index, b.end_char AS end_char_offset
 FROM al LEFT JOIN pos a ON a.book_id = al.book_id AND a.tok = s LEFT JOIN pos b ON b.book_id = al.book_id AND b.tok = e - 1""",
-    "alignment_summary": f"""{ALIGN} SELECT book_id, count(*) AS total_segments, count(s) AS matched_segments,
-  round(CASE WHEN sum(L) = 0 THEN 0.0 ELSE sum(coalesce(score, 0) * 100.0 * L) / sum(L) END, 6) AS match_percent FROM al GROUP BY ALL""",
-    "alignment_progress": f"""{ALIGN} SELECT book_id, seg, seg + 1 AS processed, count(*) OVER (PARTITION BY book_id) AS total_segments,
-  round(CASE WHEN sum(L) OVER w = 0 THEN 0.0 ELSE sum(coalesce(score, 0) * 100.0 * L) OVER w / sum(L) OVER w END, 6) AS match_percent
-FROM al WINDOW w AS (PARTITION BY book_id ORDER BY seg)""",
+    "alignment_summary": f"""{TRUTH} SELECT book_id, count(*) AS total_segments, count(*) FILTER (status = 'matched') AS matched_segments,
+  round(sum(coalesce(match_percent, 0) * n_tokens) / sum(n_tokens), 6) AS match_percent FROM truth GROUP BY ALL""",
+    "alignment_progress": f"""{TRUTH} SELECT book_id, seg, seg + 1 AS processed, count(*) OVER (PARTITION BY book_id) AS total_segments,
+  round(sum(coalesce(match_percent, 0) * n_tokens) OVER w / sum(n_tokens) OVER w, 6) AS match_percent
+FROM truth WINDOW w AS (PARTITION BY book_id ORDER BY seg)""",
     "locate_passages": f"""WITH sec AS (SELECT doc_id AS book_id, 0 AS section_ord, '' AS href, text FROM documents), {TOKENS.replace(SEC + ', ', '')},
 st AS (SELECT 0 AS book_id, item_id AS seg, {toks('text')} AS toks FROM benchmark),
 {votes(3).replace('USING (book_id, gram)', 'ON b3.gram = s3.gram').replace('SELECT book_id, seg, tok - o', 'SELECT b3.book_id AS book_id, seg, tok - o')},

@@ -164,11 +164,11 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alignment_summary(spark: SparkSession, d: str) -> DataFrame:
-    return align.alignment_summary(_alignment(spark, d)).withColumn("match_percent", F.round("match_percent", 6))
+    return align.alignment_summary(fx.truth(spark, d)).withColumn("match_percent", F.round("match_percent", 6))
 
 
 def alignment_progress(spark: SparkSession, d: str) -> DataFrame:
-    return align.alignment_progress(_alignment(spark, d)).withColumn("match_percent", F.round("match_percent", 6))
+    return align.alignment_progress(fx.truth(spark, d)).withColumn("match_percent", F.round("match_percent", 6))
 
 
 def locate_passages(spark: SparkSession, d: str) -> DataFrame:
