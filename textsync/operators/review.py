@@ -21,6 +21,7 @@ DECISION = (
     "struct<state:string,href:string,line_index:int,image_href:string,supplemental:string,"
     "classification:string,reason:string,source:string>"
 )
+POSITION = "struct<href:string,line_index:int,char_offset:int>"
 FIELDS = [f.split(":")[0] for f in DECISION[7:-1].split(",")]
 WIDE = 64  # blocks; wider review windows are searched through a word index
 PAGE_BLOCKS = 4096
@@ -76,10 +77,10 @@ def decide(report: DataFrame, drafts: DataFrame, policy: str = "smart") -> DataF
     """Precedence of decisions: a saved manual one, then the automatic edge page (smart policy only),
     else pending. Saved automatic decisions are dropped."""
     manual = drafts.where("decision.state <> 'pending' and decision.source = 'manual'").select(
-        "id", F.col("decision").alias("saved")
+        "book_id", "id", F.col("decision").alias("saved")
     )
     automatic = edge_destination("automatic") if policy == "smart" else F.lit(None).cast(DECISION)
-    return report.join(manual, "id", "left").select(
+    return report.join(manual, ["book_id", "id"], "left").select(
         *report.columns, F.coalesce("saved", automatic, decision("pending")).alias("decision")
     )
 
@@ -115,20 +116,18 @@ def audit_review(items: DataFrame) -> DataFrame:
 
 
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Upsert decisions by id. The second result holds the decisions that cannot apply, with a reason."""
-    known = items.select("id", "book_id")
-    placed = decisions.join(known, "id", "left")
-    broken = audit_decisions(placed.where("book_id is not null")).groupBy(F.col("entity").alias("id")).agg(
-        F.min("rule").alias("rule")
+    """Upsert decisions (book_id, id, decision). The second result holds the decisions that cannot apply, with a reason."""
+    key = ["book_id", "id"]
+    placed = decisions.join(items.select(*key, F.lit(True).alias("known")), key, "left")
+    broken = audit_decisions(decisions).groupBy("book_id", F.col("entity").alias("id")).agg(F.min("rule").alias("rule"))
+    checked = placed.join(broken, key, "left").withColumn(
+        "reason", F.when(F.col("known").isNull(), "unknown_id").otherwise(F.col("rule"))
     )
-    checked = placed.join(broken, "id", "left").withColumn(
-        "reason", F.when(F.col("book_id").isNull(), "unknown_id").otherwise(F.col("rule"))
-    )
-    good = checked.where("reason is null").select("id", F.col("decision").alias("given"))
-    updated = items.join(good, "id", "left").select(
+    good = checked.where("reason is null").select(*key, F.col("decision").alias("given"))
+    updated = items.join(good, key, "left").select(
         *[c for c in items.columns if c != "decision"], F.coalesce("given", "decision").alias("decision")
     )
-    return updated, checked.where("reason is not null").select("id", "decision", "reason")
+    return updated, checked.where("reason is not null").select(*key, "decision", "reason")
 
 
 def exclude_pending(items: DataFrame, reason: str = BULK_REASON) -> DataFrame:
@@ -148,9 +147,9 @@ def review_summary(items: DataFrame) -> DataFrame:
 
 def keep_edges(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """Manual "keep" of edge items: the same page as the automatic one, recorded as manual."""
-    kept = wanted.select("id").distinct().withColumn("keep", F.lit(True))
+    kept = wanted.select("book_id", "id").distinct().withColumn("keep", F.lit(True))
     manual = F.when(F.col("keep"), edge_destination("manual"))
-    return items.join(kept, "id", "left").select(
+    return items.join(kept, ["book_id", "id"], "left").select(
         *[c for c in items.columns if c != "decision"], F.coalesce(manual, "decision").alias("decision")
     )
 
@@ -268,9 +267,8 @@ def effective_alignment(alignment: DataFrame, items: DataFrame, blocks: DataFram
     good = good & (F.col("t_block") >= F.coalesce("prev_block", F.lit(0))) & (F.col("t_block") <= F.coalesce("next_block", "t_block"))
     good = F.coalesce(good, F.lit(False))
     place = lambda offset: F.struct(
-        F.col("t_href").alias("href"), F.col("t_line").alias("line_index"), offset.cast("int").alias("char_offset")
+        F.col("t_href").alias("href"), F.col("t_line").alias("line_index"), F.when(F.col("good"), offset).cast("int").alias("char_offset")
     )
-    kind = lambda c: alignment.schema[c].dataType
     applied = rows.withColumn("good", good).withColumn(
         "at_block", F.when(F.col("good"), F.col("t_block")).otherwise(F.col("from_block"))
     )
@@ -278,8 +276,8 @@ def effective_alignment(alignment: DataFrame, items: DataFrame, blocks: DataFram
         "book_id", "seg", "start_ms", "end_ms", "text",
         F.when(F.col("good"), F.lit("matched")).otherwise(F.col("status")).alias("status"),
         F.when(~F.col("good"), F.col("match_percent")).alias("match_percent"),
-        F.when(F.col("good"), place(F.lit(0)).cast(kind("book_start"))).otherwise(F.col("book_start")).alias("book_start"),
-        F.when(F.col("good"), place(F.col("t_chars")).cast(kind("book_end"))).otherwise(F.col("book_end")).alias("book_end"),
+        F.when(F.col("good"), place(F.lit(0)).cast(POSITION)).otherwise(F.col("book_start").cast(POSITION)).alias("book_start"),
+        F.when(F.col("good"), place(F.col("t_chars")).cast(POSITION)).otherwise(F.col("book_end").cast(POSITION)).alias("book_end"),
     )
     supplemental = F.col("decision.supplemental").isNotNull() & (d("state") == "assigned")
     anchors = blocks.select("book_id", "href").distinct().withColumn("known", F.lit(True))

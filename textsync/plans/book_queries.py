@@ -196,7 +196,7 @@ def _items(spark: SparkSession, d: str, policy: str = "smart") -> DataFrame:
         .when(n % 7 == 6, review.decision("assigned", href=F.col("own_href"), line_index=F.col("own_line"), source="manual"))
         .when(n % 11 == 0, review.decision("excluded", reason="old", source="automatic"))
     )
-    drafts = rows.select("id", saved.alias("decision")).where("decision is not null")
+    drafts = rows.select("book_id", "id", saved.alias("decision")).where("decision is not null")
     return review.decide(report, drafts, policy)
 
 
@@ -229,6 +229,7 @@ def applied_decisions(spark: SparkSession, d: str) -> DataFrame:
     given = F.when(n % 4 == 1, review.decision("excluded", reason=" ", source="manual")).otherwise(
         review.decision("excluded", reason="cut", source="manual"))
     wanted = items.where("seg % 3 = 0 or seg % 4 = 1").select(
+        "book_id",
         F.when(n % 10 == 3, F.concat(F.lit("no-"), "id")).otherwise(F.col("id")).alias("id"), given.alias("decision")
     )
     updated, refused = review.apply_decisions(items, wanted)
@@ -314,7 +315,7 @@ def review_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _no_drafts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], f"id string, decision {review.DECISION}")
+    return spark.createDataFrame([], f"book_id bigint, id string, decision {review.DECISION}")
 
 
 # ---------------------------------------------------------------- resources
