@@ -58,8 +58,8 @@ def cuts(plan: str) -> str:
 mid AS (SELECT book_id, chunk_idx, arg_min(a + (z - a) // 2, struct_pack(d := abs(a + (z - a) // 2 - end_ms), a := a)) AS moved FROM near WHERE z - a >= 350 GROUP BY ALL)"""
 
 
-EVEN = """even AS (SELECT book_id, duration_ms, unnest(range(0, duration_ms, 25000)) AS at FROM bk),
-ep AS (SELECT book_id, at // 25000 AS chunk_idx, at AS start_ms, least(at + 25000, duration_ms) AS end_ms, duration_ms FROM even)"""
+EVEN = """even AS (SELECT book_id, duration_ms, unnest(range(0, duration_ms, 25000)) AS s0 FROM bk),
+ep AS (SELECT book_id, s0 // 25000 AS chunk_idx, s0 AS start_ms, least(s0 + 25000, duration_ms) AS end_ms, duration_ms FROM even)"""
 
 PARTS = f"""cv AS (SELECT conv_id AS book_id, turn AS chunk_idx, role, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS ls
   FROM conversations WHERE role <> 'system'),
@@ -75,7 +75,7 @@ def rules(source: str, entity: str, **tests: str) -> str:
 LE = lambda x: "||".join(f"substr(lpad(hex({x}::BIGINT), 16, '0'), {2 * i + 1}, 2)" for i in reversed(range(8)))
 ENDS = f"""{T}, ends AS (SELECT book_id, min(seg) AS f, max(seg) AS l, arg_min(href, seg) AS ih, arg_max(href, seg) AS chref FROM truth WHERE status = 'matched' GROUP BY ALL),
 rep AS (SELECT t.book_id, t.seg, t.start_ms, t.end_ms, t.text, t.n_tokens,
-    'review-' || sha256(unhex({LE('seg')} || {LE('start_ms')} || {LE('end_ms')} || hex(text::BLOB))) AS id,
+    'review-' || sha256(unhex({LE('seg')} || {LE('start_ms')} || {LE('end_ms')} || hex(encode(text)))) AS id,
     CASE WHEN seg < f THEN 'introduction' WHEN seg > l THEN 'credits' END AS edge, CASE WHEN seg < f THEN ih WHEN seg > l THEN chref END AS edge_href
   FROM truth t LEFT JOIN ends USING (book_id) WHERE status = 'unmatched')"""
 
@@ -151,7 +151,7 @@ CUES = f"""{T}, cu AS (SELECT t.book_id, s.section_ord, t.seg, t.start_ms, t.end
 FAULTY = f"""{CUES}, fc AS (SELECT book_id, section_ord, start_ms - CASE WHEN (seg + 1) % 60 = 0 THEN 101 ELSE 0 END AS start_ms,
   CASE WHEN (seg + 1) % 50 = 0 THEN start_ms ELSE end_ms END AS end_ms, cue_id, CASE WHEN (seg + 1) % 70 = 0 THEN '' ELSE anchor END AS anchor FROM cu)"""
 SUPP = f"""{items('smart')}, su AS (SELECT book_id, seg AS review_ord, classification, supplemental AS placement, href AS anchor_href,
-  'stl-extra-page-' || lpad((seg + 1)::VARCHAR, greatest(4, length((seg + 1)::VARCHAR)), '0') AS page_id, 'text/' || classification || '-' || lpad((seg + 1)::VARCHAR, greatest(4, length((seg + 1)::VARCHAR)), '0') || '.xhtml' AS href,
+  'stl-extra-page-' || lpad((seg + 1)::VARCHAR, greatest(4, length((seg + 1)::VARCHAR))::INT, '0') AS page_id, 'text/' || classification || '-' || lpad((seg + 1)::VARCHAR, greatest(4, length((seg + 1)::VARCHAR))::INT, '0') || '.xhtml' AS href,
   end_ms - start_ms AS duration_ms, text FROM dec WHERE supplemental IS NOT NULL)"""
 ESC = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
@@ -216,10 +216,10 @@ FROM pt JOIN la USING (book_id)""",
     "stream_merge": f"""WITH {PARTS} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_idx, pos) - 1 AS seg, chunk_idx,
   chunk_idx * 25000 + pos * 500 AS start_ms, chunk_idx * 25000 + pos * 500 + 500 AS end_ms, text FROM pt""",
     "merge_audit": f"""WITH {PARTS}, lt AS (SELECT *, CASE WHEN book_id % 5 = 0 THEN 24000 ELSE 0 END AS late FROM pt),
-lo AS (SELECT book_id, chunk_idx || '/' || pos AS e, pos * 500 + 500 + late AS z, chunk_idx * 25000 + pos * 500 + late AS at,
+lo AS (SELECT book_id, chunk_idx || '/' || pos AS e, pos * 500 + 500 + late AS z, chunk_idx * 25000 + pos * 500 + late AS gs,
   lag(chunk_idx * 25000 + pos * 500 + 500 + late) OVER (PARTITION BY book_id ORDER BY chunk_idx, pos) AS before FROM lt),
 no AS (SELECT DISTINCT conv_id AS book_id FROM conversations WHERE conv_id NOT IN (SELECT book_id FROM pt))
-{rules('lo', 'e', segment_beyond_chunk='z > 25000', segment_overlap='at < before')} UNION ALL {rules('no', 'book_id', transcript_empty='true')}""",
+{rules('lo', 'e', segment_beyond_chunk='z > 25000', segment_overlap='gs < before')} UNION ALL {rules('no', 'book_id', transcript_empty='true')}""",
     "segment_audit": f"""WITH {T}, a AS (SELECT book_id, seg, start_ms - CASE WHEN seg % 60 = 59 THEN 101 ELSE 0 END AS start_ms, CASE WHEN seg % 50 = 49 THEN start_ms ELSE end_ms END AS end_ms, seg % 70 = 69 AS blank FROM truth),
 b AS (SELECT *, lag(end_ms) OVER (PARTITION BY book_id ORDER BY seg) AS before FROM a)
 {rules('b', 'seg', text_blank='blank', duration='end_ms <= start_ms', overlap='start_ms < before')}""",
@@ -273,7 +273,7 @@ d AS (SELECT book_id, id FROM a GROUP BY ALL HAVING count(*) > 1)
     "wide_candidates": f"""WITH {T.replace('truth AS (', 'truth0 AS (')}, truth AS (SELECT * REPLACE (CASE WHEN seg % 400 = 2 AND status = 'matched' THEN 'matched' ELSE 'unmatched' END AS status) FROM truth0
   WHERE seg % 40 = 6 OR (seg % 400 = 2 AND status = 'matched')), {NEAR}, {jaccard(24)} SELECT * FROM tc""",
     "silence_evidence": f"""WITH {MARKS}, v AS (SELECT book_id, event_id AS seg, t AS s, t + 2500 AS e FROM tl WHERE event_type = 'view'),
-x AS (SELECT v.book_id, v.seg, sum(greatest(least(e, until_ms) - greatest(s, from_ms), 0))::BIGINT AS q FROM v LEFT JOIN si ON si.book_id = v.book_id AND until_ms > from_ms AND s < until_ms AND from_ms < e GROUP BY ALL)
+x AS (SELECT v.book_id, v.seg, sum(CASE WHEN from_ms IS NOT NULL THEN least(e, until_ms) - greatest(s, from_ms) ELSE 0 END)::BIGINT AS q FROM v LEFT JOIN si ON si.book_id = v.book_id AND until_ms > from_ms AND s < until_ms AND from_ms < e GROUP BY ALL)
 SELECT book_id, seg, least(coalesce(q, 0), 2500) AS silent_ms, 2500 AS duration_ms, least(coalesce(q, 0), 2500) * 100 // 2500 AS percent FROM x""",
     "effective_alignment": f"WITH {APPLIED} SELECT book_id, seg, status, match_percent, href, line_index, start_char, end_char FROM ef",
     "effective_summary": f"""WITH {APPLIED} SELECT book_id, count(*) AS total_segments, count(*) FILTER (status = 'matched') AS matched_segments,
@@ -308,9 +308,9 @@ UNION ALL SELECT book_id, 'crosses_block', count(*) FROM truth WHERE status = 'm
   '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en"><head><title>' || ti || '</title><meta charset="utf-8"/></head><body epub:type="' || ty || '"><section><h1>' || ti
   || '</h1><p id="stl-extra-text-' || (review_ord + 1) || '">' || {ESC('text')} || '</p></section></body></html>' AS xhtml
 FROM (SELECT *, CASE classification WHEN 'introduction' THEN '{SIDES["introduction"][0]}' ELSE '{SIDES["credits"][0]}' END AS ti, CASE classification WHEN 'introduction' THEN '{SIDES["introduction"][1]}' ELSE '{SIDES["credits"][1]}' END AS ty FROM su)""",
-    "extended_spine": f"""WITH {SUPP}, r AS (SELECT book_id, href, section_ord AS at, 0 AS side, 0 AS turn FROM sec
+    "extended_spine": f"""WITH {SUPP}, r AS (SELECT book_id, href, section_ord AS a0, 0 AS side, 0 AS turn FROM sec
   UNION ALL SELECT su.book_id, su.href, s.section_ord, CASE placement WHEN 'before_anchor' THEN -1 ELSE 1 END, review_ord FROM su JOIN sec s ON s.book_id = su.book_id AND s.href = su.anchor_href)
-SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY at, side, turn) - 1 AS spine_ord, href, side <> 0 AS supplemental FROM r""",
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY a0, side, turn) - 1 AS spine_ord, href, side <> 0 AS supplemental FROM r""",
     "unique_names": f"""WITH {BLK}, a AS (SELECT book_id, block_ord AS ord, lower(substr(text, 1, 1)) AS base, row_number() OVER (PARTITION BY book_id, lower(substr(text, 1, 1)) ORDER BY block_ord) AS nth FROM blk),
 u AS (SELECT DISTINCT book_id, lower(substr(text, 1, 1)) AS base, CASE WHEN block_ord % 2 = 0 THEN 1 ELSE block_ord % 5 END AS k FROM blk WHERE block_ord % 9 = 4 AND (block_ord % 2 = 0 OR block_ord % 5 >= 2)),
 fr AS (SELECT b.book_id, b.base, i, row_number() OVER (PARTITION BY b.book_id, b.base ORDER BY i) AS nth

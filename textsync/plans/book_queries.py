@@ -587,7 +587,7 @@ def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     segments = F.transform(spoken, lambda x, i: F.struct((i * 500).alias("start_ms"), (i * 500 + 500).alias("end_ms"), x.alias("text")))
     chunks = turns.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("bigint").alias("chunk_idx"), F.lit(True).alias("ok"), segments.alias("segments"))
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    merged = merge.stream_merge_chunks(chunks, stage(fx.chunk_plans(spark, d)))
+    merged = merge.stream_merge_chunks(chunks, stage(fx.chunk_plans(spark, d)), timeout_ms=None)
     query = merged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema(merge.OUT).parquet(f"{base}/out")

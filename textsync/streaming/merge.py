@@ -26,7 +26,7 @@ def chunk_results(chunks: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-def _merge(timeout_ms: int):
+def _merge(timeout_ms: int | None):
     def merge(key, batches, state: GroupState):
         columns = [part.split()[0] for part in OUT.split(", ")]
         if state.hasTimedOut:
@@ -60,7 +60,7 @@ def _merge(timeout_ms: int):
             held = {}
         state.update((at, seg, last, json.dumps(held), failed))
         done = failed or (total is not None and at >= total)
-        if not done:
+        if not done and timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         out = pd.DataFrame(rows, columns=columns)
         yield out.astype({c: "Int64" for c in ("seg", "chunk_idx", "start_ms", "end_ms")})
@@ -68,17 +68,17 @@ def _merge(timeout_ms: int):
     return merge
 
 
-def stream_merge_chunks(chunk_stream: DataFrame, plans: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def stream_merge_chunks(chunk_stream: DataFrame, plans: DataFrame, timeout_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Emit each book's contiguous prefix of chunks as soon as it is there.
 
     State per book: next chunk, next segment number, last end, and results still waiting for an earlier
     one. A repeated chunk is ignored, a failed one fails its book only, and a book that never completes is
     reported as ``abandoned`` by a processing-time timer and not as complete. A ``complete`` row closes a book.
+    Give ``timeout_ms=None`` for a bounded run (``availableNow``), which a timer would keep open.
     """
     rows = chunk_results(chunk_stream, plans)
-    return rows.groupBy("book_id").applyInPandasWithState(
-        _merge(timeout_ms), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timer = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("book_id").applyInPandasWithState(_merge(timeout_ms), OUT, STATE, "append", timer)
 
 
 def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, alignment_path: str, checkpoint: str):
