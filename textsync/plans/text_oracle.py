@@ -123,8 +123,9 @@ v{n} AS (SELECT book_id, seg, tok - o AS start, count(*) AS votes FROM b{n} JOIN
 ALPHA = "".join(chr(i) for i in range(33, 127)).replace("'", "''")
 
 
-def scores(starts: str, key: str = "book_id, seg", item: str = "st") -> str:
-    """Best acceptable window of each (segment, start): one letter per distinct segment word."""
+def scores(starts: str, key: str = "book_id, seg", item: str = "st", reach: int = 60) -> str:
+    """Best acceptable window of each (segment, start): one letter per distinct segment word. ``reach``
+    exceeds the longest window."""
     code = lambda src, words: (
         f"array_to_string(list_transform({src}, lambda t: CASE WHEN list_position({words}, t) IS NULL OR list_position({words}, t) = 0 THEN ' ' "
         f"ELSE substr('{ALPHA}', list_position({words}, t)::INT, 1) END), '')"
@@ -132,11 +133,11 @@ def scores(starts: str, key: str = "book_id, seg", item: str = "st") -> str:
     return f"""sw AS (SELECT *, len(toks) AS L, greatest(least(len(toks) // 4, 8), 1) AS v, list_distinct(toks) AS words,
     CASE WHEN len(toks) <= 3 THEN 0.9::DOUBLE WHEN len(toks) <= 7 THEN 0.72::DOUBLE ELSE 0.6::DOUBLE END AS need FROM {item}),
 sc AS (SELECT *, {code('toks', 'words')} AS code FROM sw),
-btok AS (SELECT book_id, list(norm ORDER BY tok) AS norms, list(section_ord * 100000000 + line_index ORDER BY tok) AS blks FROM tok GROUP BY book_id),
+fw AS MATERIALIZED (SELECT book_id, tok, list(norm) OVER w AS norms, list(section_ord * 100000000 + line_index) OVER w AS blks FROM tok
+  WINDOW w AS (PARTITION BY book_id ORDER BY tok ROWS BETWEEN CURRENT ROW AND {reach} FOLLOWING)),
 reg AS (SELECT c.book_id, c.seg, c.start, s.L, s.v, s.need, s.code, s.words,
-    b.norms[c.start + 1 : c.start + s.L + s.v] AS run, b.blks[c.start + 1 : c.start + s.L + s.v] AS bl
-  FROM {starts} c JOIN sc s ON c.seg = s.seg {'AND c.book_id = s.book_id' if 'book_id' in key else ''} JOIN btok b ON b.book_id = c.book_id
-  WHERE c.start < len(b.norms)),
+    b.norms[1 : s.L + s.v] AS run, b.blks[1 : s.L + s.v] AS bl
+  FROM {starts} c JOIN sc s ON c.seg = s.seg {'AND c.book_id = s.book_id' if 'book_id' in key else ''} JOIN fw b ON b.book_id = c.book_id AND b.tok = c.start),
 reg2 AS (SELECT * REPLACE ({code('run', 'words')} AS run) FROM reg),
 win AS (SELECT *, unnest(range(L - v, L + v + 1)) AS n FROM reg2 WHERE length(replace(run, ' ', '')) >= need * L),
 sco AS (SELECT book_id, seg, start, n, need, 1.0::DOUBLE - levenshtein(substr(run, 1, n::INT), code)::DOUBLE / greatest(n, L)::DOUBLE AS score
@@ -252,7 +253,7 @@ cand AS (SELECT * FROM v3 UNION ALL SELECT * FROM v2 ANTI JOIN (SELECT DISTINCT
 ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id, seg ORDER BY votes DESC, start) AS rank FROM cand QUALIFY rank <= 12),
 tried AS (SELECT book_id, seg, rank, unnest(range(greatest(start - 3, 0), start + 4)) AS start FROM ranked),
 starts AS (SELECT DISTINCT book_id, seg, start FROM tried),
-{scores('starts', key='seg')}
+{scores('starts', key='seg', reach=400)}
 SELECT seg AS item_id, book_id AS doc_id, w.start AS start, w.start + w.n AS "end", floor(w.score * 1000 + 1e-6)::INT AS score_milli FROM (
   SELECT seg, book_id, arg_min(struct_pack(start := start, n := n, score := score), struct_pack(a := -score, r := rank, s := start)) AS w
   FROM tried JOIN best USING (book_id, seg, start) GROUP BY ALL)""",
