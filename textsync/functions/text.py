@@ -84,8 +84,12 @@ def ascii_fold(c: Column) -> Column:
 
 def first_of_each(lines: Column) -> Column:
     """Drop ASCII-case-insensitive repeats, keep the first form and the order."""
-    folded = F.transform(lines, ascii_fold)
-    return F.filter(lines, lambda x, i: F.array_position(folded, F.element_at(folded, i + 1)) == i + 1)
+    pair = lambda x: F.struct(x.alias("line"), F.transform(x, ascii_fold).alias("folded"))
+    # bound one after the other, so neither list is computed again for every line
+    bound = F.transform(F.transform(F.array(lines), pair), lambda p: F.filter(
+        p.line, lambda x, i: F.array_position(p.folded, F.element_at(p.folded, i + 1)) == i + 1
+    ))
+    return F.element_at(bound, 1)
 
 
 def evidence_lines(lines: Column, low: int = 2, high: int = 240) -> Column:
