@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cpus: int | None = None, name: str = "textsync") -> SparkSession:
     """A local session with the settings used in tests and in the bench."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    shared = os.environ.get("TEXTSYNC_SHARED", f"/tmp/spark-shared-{os.getpid()}")  # one machine: any folder is shared
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -21,6 +22,7 @@ def local_session(cpus: int | None = None, name: str = "textsync") -> SparkSessi
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,16 +30,42 @@ def local_session(cpus: int | None = None, name: str = "textsync") -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share for intermediate tables.
+
+    It is the one named in ``spark.checkpoint.dir``. Where that is unset, a folder of the warehouse
+    is set, which Spark takes to be shared as well; a machine-local temporary folder is never used.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str = "stage") -> str:
+    """A folder name below the shared folder that nothing else uses; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
+def remove_staged(spark: SparkSession | None = None) -> None:
+    """Delete the folders made by ``stage``; tables read back from them must no longer be used."""
+    while _staged:
+        session, path = _staged.pop()
+        try:
+            target = session._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session has ended: the cluster clears its shared folder
+            continue
+
+
+atexit.register(remove_staged)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -45,6 +73,6 @@ def stage(df: DataFrame) -> DataFrame:
     re-read only. Being parquet it stays columnar and carries its true size to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
