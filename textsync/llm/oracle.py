@@ -51,4 +51,43 @@ FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-ORACLE = {"op3_mixing": MIXING, "op10_topk": TOPK}
+QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), counted AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper,
+         length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS lower,
+         len(list_filter(w, lambda x: x[-1] IN ('!', '?'))) AS marks,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
+  FROM d
+), runs AS (
+  SELECT r, unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i : i + 7], ' '))) AS run,
+         unnest(range(1, greatest(len(w) - 6, 1))) AS at
+  FROM d
+), twice AS (
+  SELECT r, at FROM runs QUALIFY count(*) OVER (PARTITION BY r, run) > 1
+), covered AS (
+  SELECT r, CAST(count(DISTINCT at + k) AS BIGINT) AS n_repeat_words FROM twice, range(0, 8) AS t(k) GROUP BY r
+), lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
+), doubled AS (
+  SELECT r, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), base AS (
+  SELECT c.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM counted c LEFT JOIN doubled USING (r) LEFT JOIN covered USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 60 * n_lines
+            OR 100 * stutters > 20 * n_words OR upper > lower OR 100 * marks > 30 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM base
+"""
+
+ORACLE = {"op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, mixing, oracle, topk
+from textsync.llm import bpe, mixing, oracle, quality, topk
 from textsync.session import stage
 
 
@@ -20,6 +20,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = quality.plan(docs)
+    judged = quality.cascade(docs, ordered, report=quality.REPORTED).drop("text")
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", *quality.REPORTED, base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +48,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op10_topk": op10_topk,
 }
