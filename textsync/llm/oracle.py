@@ -62,17 +62,17 @@ WITH d AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper,
          length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS lower,
-         len(list_filter(w, lambda x: x[-1] IN ('!', '?'))) AS marks,
+         len(list_filter(w, lambda x: right(x, 1) IN ('!', '?'))) AS marks,
          len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
   FROM d
 ), runs AS (
   SELECT r, unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i : i + 7], ' '))) AS run,
-         unnest(range(1, greatest(len(w) - 6, 1))) AS at
+         unnest(range(1, greatest(len(w) - 6, 1))) AS place
   FROM d
 ), twice AS (
-  SELECT r, at FROM runs QUALIFY count(*) OVER (PARTITION BY r, run) > 1
+  SELECT r, place FROM runs QUALIFY count(*) OVER (PARTITION BY r, run) > 1
 ), covered AS (
-  SELECT r, CAST(count(DISTINCT at + k) AS BIGINT) AS n_repeat_words FROM twice, range(0, 8) AS t(k) GROUP BY r
+  SELECT r, CAST(count(DISTINCT place + k) AS BIGINT) AS n_repeat_words FROM twice, range(0, 8) AS t(k) GROUP BY r
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
 ), doubled AS (
@@ -90,4 +90,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-ORACLE = {"op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}
+NEAR_COPIES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN list_transform(w[1:1], lambda x: x)
+                                      ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM w
+), sized AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sized USING (doc_id)
+"""
+
+ORACLE = {"op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, mixing, oracle, quality, topk
+from textsync.llm import bpe, mixing, nearcopies, oracle, quality, topk
 from textsync.session import stage
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stage(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -47,6 +51,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
