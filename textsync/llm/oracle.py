@@ -115,4 +115,21 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM least LEFT JOIN sized USING (doc_id)
 """
 
-ORACLE = {"op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, html, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', h[i]) - 1), 4, '0')), lambda a, b: a || b) AS b,
+         min(page_id) OVER (PARTITION BY html) AS first
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * CAST(b[5 * i + 1] AS INTEGER) + 8 * CAST(b[5 * i + 2] AS INTEGER) + 4 * CAST(b[5 * i + 3] AS INTEGER)
+           + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER)]), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+ORACLE = {"op6_warc": WARC, "op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}

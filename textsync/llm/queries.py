@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, mixing, nearcopies, oracle, quality, topk
+from textsync.llm import bpe, mixing, nearcopies, oracle, quality, topk, warc
 from textsync.session import stage
 
 
@@ -32,6 +32,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.REPORTED, base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    packages = stage(warc.write_packages(warc.with_references(pages), warc.package_folder(spark)))
+    return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op10_topk": op10_topk,
 }
