@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from textsync.llm.flat import slices
 
 #: Pieces whose tokens a worker remembers; text bytes encoded at once; longest piece encoded together with others.
-REMEMBERED, CHUNK, TOGETHER = 400_000, 4 << 20, 64
+REMEMBERED, CHUNK, TOGETHER = 250_000, 2 << 20, 64
 NONE = 1 << 62
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, mixing, nearcopies, oracle, quality, topk, warc
+from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, quality, topk, toxicity, warc
 from textsync.session import stage
 
 
@@ -24,6 +24,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.train(docs)
+    told = language.identify(docs.select("doc_id", "text"), network)
+    return told.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = quality.plan(docs)
@@ -50,6 +57,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select(F.col("vec_id").cast("long").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
@@ -59,9 +73,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 ORACLE = oracle.ORACLE

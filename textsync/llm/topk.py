@@ -52,12 +52,12 @@ def _tile(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return _lists(0, 0, [], [], [])
-        width = max(int(np.diff(np.asarray(t["v"].combine_chunks().offsets)).max()) for t in (queries, rows))
-        q, c = _matrix(queries["v"], width), _matrix(rows["v"], width)
+        width = max(int(np.diff(np.asarray(v.combine_chunks().offsets)).max()) for v in (queries["v"], rows["row_v"]))
+        q, c = _matrix(queries["v"], width), _matrix(rows["row_v"], width)
         bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
         if bound < 2.0**53:  # exact in floating point, where the product is fast
             q, c = q.astype(np.float64), c.astype(np.float64)
-        qid, cid = np.asarray(queries["id"]), np.asarray(rows["id"])
+        qid, cid = np.asarray(queries["id"]), np.asarray(rows["row_id"])
         shown, scores, ids = [], [], []
         for at in range(0, len(q), ROWS):
             product = (q[at : at + ROWS] @ c.T).astype(np.int64)
@@ -68,7 +68,7 @@ def _tile(k: int):
                 shown.append(qid[at + i])
                 scores.append(line[kept])
                 ids.append(cid[kept])
-        return _lists(queries["block"][0].as_py(), rows["shard"][0].as_py(), shown, scores, ids)
+        return _lists(queries["block"][0].as_py(), rows["row_shard"][0].as_py(), shown, scores, ids)
 
     return run
 
@@ -114,8 +114,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
     q = queries.withColumn("block", part(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    c = vectors.withColumn("shard", part(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    lists = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(_tile(k), LISTS)
+    # new names for all columns of one side: two sides of one origin share attributes, and the planner prunes those of one
+    c = vectors.select(F.col("id").alias("row_id"), F.col("v").alias("row_v"), part(shards).alias("row_shard"))
+    c = c.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lists = q.groupBy("block", "shard").cogroup(c.groupBy("row_block", "row_shard")).applyInArrow(_tile(k), LISTS)
     while shards > 1:
         lists = lists.groupBy("block", F.expr(f"shard div {FAN}")).applyInArrow(_merge(k), LISTS)
         shards = -(-shards // FAN)
