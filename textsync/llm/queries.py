@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, quality, topk, toxicity, warc
+from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, quality, topk, toxicity, warc
 from textsync.session import stage
 
 
@@ -57,6 +57,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stage(pii.per_document(docs).select("doc_id", "spans"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +89,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
