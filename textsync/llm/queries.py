@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, quality, topk, toxicity, warc
+from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, quality, substrings, topk, toxicity, warc
 from textsync.session import stage
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+
+
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -83,6 +87,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_strings": op1_repeated_strings,
     "op2_near_copies": op2_near_copies,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
