@@ -91,45 +91,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
 
 
-def swaps(found: np.ndarray, sentences: int, groups: Sequence[Sequence[str]], inserted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counterfactual pairs of the labelled sentences: what a swap takes from a sentence and what it adds.
+class Swaps:
+    """Counterfactuals of the labelled sentences, and the step that takes their score changes back.
 
-    A sentence with an identity term is paired with itself under every other term of that kind. Terms that
-    few sentences hold are also put into ``inserted`` sentences each, against the sentence without. As
-    the score is a sum over words, a pair's score change depends on the two terms only: pairs are counted
-    per (term, other), row -1 standing for no term.
+    A sentence with an identity term is paired with itself under every other term of that kind; and every term is
+    put into ``inserted`` sentences that lack it, against the sentence without. As a sentence's score is a sum
+    over its words, a pair's score change is the difference of what the two terms add, whatever the sentence;
+    so pairs need only be counted.
     """
-    flat = [t for group in groups for t in group]
-    terms = term_features(flat)
-    kind = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    held = np.array([int((found[:, 0] == t[0]).sum()) for t in terms])
-    pairs, weight = [], []
-    for i in range(len(terms)):
-        for j in np.flatnonzero((kind == kind[i]) & (np.arange(len(terms)) != i)):
-            if held[i]:
-                pairs.append((i, j))
-                weight.append(held[i])
-        pairs.append((i, -1))
-        weight.append(max(inserted, held[i]))
-    return terms, np.array(pairs), np.array(weight, float) / max(sentences, 1)
+
+    def __init__(self, found: np.ndarray, groups: Sequence[Sequence[str]], inserted: int, penalty: float):
+        self.terms = term_features([t for group in groups for t in group])
+        self.kind = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        held = np.array([int((found[:, 0] == t[0]).sum()) for t in self.terms])
+        self.pull = penalty * (1 + held / inserted)
+
+    def worth(self, weights: np.ndarray) -> np.ndarray:
+        return weights[self.terms].sum(1)
+
+    def settle(self, weights: np.ndarray) -> None:
+        """One proximal step on the squared score changes: terms of a kind move towards each other and to
+        adding nothing, in proportion to how many pairs they are in. Stable at any strength."""
+        worth = self.worth(weights)
+        mean = (np.bincount(self.kind, worth) / np.bincount(self.kind))[self.kind]
+        better = mean / (1 + self.pull) + (worth - mean) / (1 + self.pull)
+        np.add.at(weights, self.terms, ((better - worth) / self.terms.shape[1])[:, None])
 
 
 def fit(
-    texts: Sequence[tuple[str, int]], groups: Sequence[Sequence[str]] = IDENTITY, penalty: float = 1.0, inserted: int = 2000, rounds: int = 60, rate: float = 0.25, decay: float = 1e-5,
+    texts: Sequence[tuple[str, int]], groups: Sequence[Sequence[str]] = IDENTITY, penalty: float = 1.0, inserted: int = 100, rounds: int = 60, rate: float = 0.25, decay: float = 1e-5,
 ) -> Model:
     """Learn from labelled documents, whose label says that some sentence is toxic.
 
     A document's logit is a weighted mean of its sentences' logits, weighted towards the highest, more so
     with each round; that of a toxic document is to be high, that of a clean one low. Added to the log loss
-    is ``penalty`` times the mean squared change of score under the swaps of identity terms, so that naming a
-    group does not by itself move the score. Without both labels the model is a constant.
+    is a penalty on the squared change of score under the swaps of identity terms (:class:`Swaps`), so that naming
+    a group does not by itself move the score. Without both labels the model is a constant.
     """
     labels = np.array([y for _, y in texts], float)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 4.0 if len(labels) and labels[0] else -4.0)
     found, sentence, document = features(*flatten(pa.array([t for t, _ in texts], pa.large_string())))
     n, docs = len(document), len(labels)
-    terms, pairs, held = swaps(found, n, groups, inserted)
+    swaps = Swaps(found, groups, inserted, penalty)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (docs - labels.sum())) * docs
     size = found.shape[1]
     flat = found.reshape(-1)
@@ -148,15 +152,10 @@ def fit(
         error = share * (score - labels) / docs
         slope = attention * error[document]
         gradient = np.bincount(flat, np.repeat(slope[sentence], size), minlength=BUCKETS)
-        worth = weights[terms].sum(1)
-        change = worth[pairs[:, 0]] - np.where(pairs[:, 1] >= 0, worth[pairs[:, 1]], 0.0)
-        pull = 2 * penalty * held * change
-        np.add.at(gradient, terms[pairs[:, 0]], pull[:, None])
-        other = pairs[:, 1] >= 0
-        np.add.at(gradient, terms[pairs[other, 1]], -pull[other, None])
         gradient += decay * weights
         speed, speed_b = 0.9 * speed - step * gradient, 0.9 * speed_b - rate * slope.sum()
         weights, bias = weights + speed, bias + speed_b
+        swaps.settle(weights)
     return Model(weights, float(bias))
 
 
