@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,27 +17,13 @@ LINE_TAGS = (
     "header li main nav ol p pre section table td th tr ul"
 ).split()
 
-# Named character references, ampersand last.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&amp;": "&",
-}
+# Named character references: the whole HTML table, as the standard library has it.
+ENTITIES = {name: char for name, char in html5.items() if name.endswith(";")}
 
 PREFIX = r"(?:[\w.\-]+:)?"
-ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# Inside a tag: anything but its end, quoted values whole. The second form leaves a closing slash.
+ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+INNER = r"""(?:[^>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+"""
 
 
 def _bind(value: Column, body) -> Column:
@@ -42,28 +31,22 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _numeric_reference(c: Column) -> Column:
-    """Decode ``&#n;`` and ``&#xh;`` piecewise; text without any is passed through."""
-    pieces = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)&#x?[0-9A-Fa-f]+;|&|[^&]+"), F.lit(0))
+def unescape(c: Column) -> Column:
+    """Decode character references in one pass, so that nothing decoded is read again. Unknown ones stay."""
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(r"&(?:#[xX]?[0-9A-Fa-f]+|[0-9A-Za-z]+);|&|[^&]+"), F.lit(0))
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def decode(piece: Column) -> Column:
-        hexa = F.regexp_extract(piece, r"^&#x([0-9A-Fa-f]{1,6});$", 1)
+        hexa = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
         deci = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
         code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).try_cast("bigint")
         legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(F.substring(piece, 1, 2) != "&#", piece).when(legal, char).otherwise(piece)
+        named = F.coalesce(F.try_element_at(names, F.substring(piece, 2, 40)), piece)
+        return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).when(F.substring(piece, 2, 1) != "#", named).when(legal, char).otherwise(piece)
 
     decoded = lambda x: F.array_join(F.transform(pieces(x), decode), "")
-    return _bind(c, lambda x: F.when(x.contains("&#"), decoded(x)).otherwise(x))
-
-
-def unescape(c: Column) -> Column:
-    """Decode character references once; a decoded ampersand never starts another reference."""
-    c = _numeric_reference(F.replace(c, F.lit("&amp;#"), F.lit("&amp;\u0001#")))
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.replace(c, F.lit("&\u0001#"), F.lit("&#"))
+    return _bind(c, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def visible_markup(html: Column) -> Column:
@@ -82,8 +65,8 @@ def visible_markup(html: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)<\?.*?\?>|<![^>]*>", "")
     for tag in HIDDEN_TAGS:
         name = f"{PREFIX}{tag}"
-        c = F.regexp_replace(c, f"(?s)<{name}(?:\\s[^>]*)?/>", "")
-        c = F.regexp_replace(c, f"(?s)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>", "")
+        c = F.regexp_replace(c, f"(?s)<{name}(?:\\s{INNER})?/>", "")
+        c = F.regexp_replace(c, f"(?s)<{name}(?:\\s{ATTRS})?>.*?</{name}\\s*>", "")
     return c
 
 
@@ -91,8 +74,9 @@ def markup_to_text(html: Column) -> Column:
     """Visible text of a page: one line per block, whitespace runs squeezed, references decoded."""
     c = F.regexp_replace(visible_markup(html), f"{SPACE}+", " ")
     names = "|".join(LINE_TAGS)
-    c = F.regexp_replace(c, f"</?{PREFIX}(?:{names})(?:\\s[^>]*)?/?>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
+    c = F.regexp_replace(c, f"</?{PREFIX}(?:{names})(?:\\s{INNER})?/?>", "\n")
+    c = F.regexp_replace(c, f"<(?=[A-Za-z/!?]){ATTRS}>", "")
+    c = F.regexp_replace(c, r"<[^>]*>", "")  # what is left of tags with an open quote
     c = unescape(c)
     inner = SPACE.replace(r"\t-\r", r"\t\x{0B}-\r")
     c = F.regexp_replace(c, f"{inner}+", " ")

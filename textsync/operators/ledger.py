@@ -49,11 +49,13 @@ def fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
 def stage_fingerprints(inputs: DataFrame) -> DataFrame:
     """(book_id, stage, fingerprint): a hash over exactly the inputs that can change the stage."""
 
+    value = lambda field: F.coalesce(F.col(field), F.lit("\u0000null"))  # an unknown input is a value of its own
+
     def payload(stage: str, label: str) -> Column:
-        parts = [F.lit(f"stage:{label}\nepub:"), F.col("epub_source"), F.lit("\naudio:"), F.col("audiobook_source"), F.lit("\n")]
+        parts = [F.lit(f"stage:{label}\nepub:"), value("epub_source"), F.lit("\naudio:"), value("audiobook_source"), F.lit("\n")]
         for field in STAGE_INPUTS[stage]:
             lead = _LINES.get(field)
-            parts += [F.lit(lead), F.col(field), F.lit("\n")] if lead else [F.col(field)]
+            parts += [F.lit(lead), value(field), F.lit("\n")] if lead else [value(field)]
         return F.concat(F.lit("sha256:"), F.sha2(F.concat(*parts), 256))
 
     rows = F.array(*[
@@ -66,7 +68,7 @@ def recompute_plan(ledger: DataFrame, current: DataFrame) -> DataFrame:
     """(book_id, stage, reuse): stages are reusable in order up to the first that changed or is missing."""
     saved = ledger.select("book_id", "stage", F.col("fingerprint").alias("saved"))
     rows = current.join(saved, ["book_id", "stage"], "left").withColumn("ord", stage_ord(F.col("stage")))
-    stale = F.when(~F.col("saved").eqNullSafe(F.col("fingerprint")), F.col("ord"))
+    stale = F.when(F.coalesce(F.col("saved") != F.col("fingerprint"), F.lit(True)), F.col("ord"))
     first = rows.groupBy("book_id").agg(F.min(stale).alias("first_stale"))
     return rows.join(first, "book_id").select(
         "book_id", "stage", (F.col("ord") < F.coalesce("first_stale", F.lit(len(STAGES)))).alias("reuse")

@@ -117,7 +117,8 @@ def resource_candidates(items: DataFrame, alignment: DataFrame, spine: DataFrame
     pages = windows.withColumn("p", F.explode(ranked)).select(
         "book_id", "seg", F.col("p.far").alias("far"), F.col("p.ord").alias("spine_ord")
     )
-    declared = manifest.where(F.col("size").between(1, MAX_BYTES)).select("book_id", F.col("href").alias("image_href"), "media_type", "size")
+    images = manifest.where(F.lower("media_type").startswith("image/"))
+    declared = images.where(F.col("size").between(1, MAX_BYTES)).select("book_id", F.col("href").alias("image_href"), "media_type", "size")
     once = refs.groupBy("book_id", "document_href", "image_href").agg(
         F.min(F.struct("image_ordinal", "hints")).alias("r")
     ).select("book_id", "document_href", "image_href", "r.image_ordinal", "r.hints")

@@ -15,7 +15,6 @@ EDGE_REASON = {
     "credits": "Unmatched narration occurs after the last matched book segment.",
 }
 BULK_REASON = "User chose Continue without unmatched audio."
-LEGACY_REASON = "Legacy whole-report unmatched-audio exclusion."
 
 DECISION = (
     "struct<state:string,href:string,line_index:int,image_href:string,supplemental:string,"
@@ -75,10 +74,11 @@ def edge_destination(source: str) -> Column:
 
 def decide(report: DataFrame, drafts: DataFrame, policy: str = "smart") -> DataFrame:
     """Precedence of decisions: a saved manual one, then the automatic edge page (smart policy only),
-    else pending. Saved automatic decisions are dropped."""
-    manual = drafts.where("decision.state <> 'pending' and decision.source = 'manual'").select(
-        "book_id", "id", F.col("decision").alias("saved")
-    )
+    else pending. Saved automatic decisions are dropped; so are several manual ones of one id, which contradict
+    each other (``apply_decisions`` reports them)."""
+    manual = drafts.where("decision.state <> 'pending' and decision.source = 'manual'").groupBy("book_id", "id").agg(
+        F.max("decision").alias("saved"), F.count("*").alias("drafts")
+    ).where("drafts = 1").drop("drafts")
     automatic = edge_destination("automatic") if policy == "smart" else F.lit(None).cast(DECISION)
     return report.join(manual, ["book_id", "id"], "left").select(
         *report.columns, F.coalesce("saved", automatic, decision("pending")).alias("decision")
@@ -118,10 +118,11 @@ def audit_review(items: DataFrame) -> DataFrame:
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert decisions (book_id, id, decision). The second result holds the decisions that cannot apply, with a reason."""
     key = ["book_id", "id"]
-    placed = decisions.join(items.select(*key, F.lit(True).alias("known")), key, "left")
+    placed = decisions.join(items.select(*key, F.lit(True).alias("known")).distinct(), key, "left")
     broken = audit_decisions(decisions).groupBy("book_id", F.col("entity").alias("id")).agg(F.min("rule").alias("rule"))
-    checked = placed.join(broken, key, "left").withColumn(
-        "reason", F.when(F.col("known").isNull(), "unknown_id").otherwise(F.col("rule"))
+    repeated = decisions.groupBy(key).agg((F.count("*") > 1).alias("repeated")).where("repeated")
+    checked = placed.join(broken, key, "left").join(repeated, key, "left").withColumn(
+        "reason", F.when(F.col("known").isNull(), "unknown_id").when(F.col("repeated"), "decision_repeated").otherwise(F.col("rule"))
     )
     good = checked.where("reason is null").select(*key, F.col("decision").alias("given"))
     updated = items.join(good, key, "left").select(
@@ -185,6 +186,12 @@ def review_windows(alignment: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def reversed_windows(windows: DataFrame) -> DataFrame:
+    """Violations for items whose window ends before it begins: their neighbours are matched in reverse order.
+    Takes the windows of text blocks or of resources; the candidate operators list nothing for these items."""
+    return violations(windows, F.col("seg"), window_reversed=F.col("lo") > F.col("hi"))
+
+
 def text_candidates(alignment: DataFrame, blocks: DataFrame, k: int = 24) -> DataFrame:
     """The ``k`` blocks of each window most alike in words (ties: earlier first), in reading order.
 

@@ -128,7 +128,7 @@ fo AS (SELECT x.book_id, seg, coalesce(p.ord, 0) AS lo, coalesce(n.ord, last) AS
   coalesce(p.ord + (n.ord - p.ord) * (seg - p.seg) // greatest(n.seg - p.seg, 1), p.ord, n.ord, 0) AS focus
   FROM nx x JOIN (SELECT book_id, max(section_ord) AS last FROM sec GROUP BY ALL) USING (book_id) WHERE status = 'unmatched'),
 fig AS (SELECT book_id, section_ord, href, line_index, 'img/' || book_id || '-' || block_ord AS image_href, block_ord % 50 * 1000000 AS size,
-  trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS hint FROM blk WHERE block_ord % 5 = 0),
+  trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS hint FROM blk WHERE block_ord % 5 = 0 AND block_ord % 35 <> 10),
 pg AS (SELECT f.book_id, f.seg, s.section_ord, abs(s.section_ord - focus) AS far FROM fo f JOIN sec s ON s.book_id = f.book_id AND s.section_ord BETWEEN lo AND hi),
 rc AS (SELECT p.book_id, p.seg, p.section_ord AS spine_ord, g.href, g.line_index, g.image_href, g.hint,
   row_number() OVER (PARTITION BY p.book_id, p.seg ORDER BY far, p.section_ord, g.line_index) AS rank

