@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,27 +42,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def publish_table(df: DataFrame, destination: str, intents: str, audits: list[DataFrame] = ()) -> DataFrame:
-    """Publish ``df`` as parquet, never overwriting. Refused while any audit has rows. The intent (digest of
-    what is to be written) is recorded first: a retry with the same intent and the same bytes succeeds, an
-    unrelated table at the destination is an error. Checking and committing are two steps, so two writers
-    racing for one destination are not excluded on object stores."""
-    spark = df.sparkSession
+    """Publish ``df`` as parquet, never overwriting. Refused while any audit has rows.
+
+    The table is written once, to a staging folder beside the destination, and verified there; then the intent
+    (digest of what is to be published) is recorded and the staging folder renamed. A crash leaves staging
+    folders only, which the next attempt removes: any attempt can be retried. A retry with the same intent and
+    the same bytes succeeds, an unrelated table at the destination is an error. Checking and renaming are two
+    steps, so two writers racing for one destination are not excluded on object stores."""
+    spark, destination = df.sparkSession, destination.rstrip("/")
     for audit in audits:
         if not audit.isEmpty():
             raise PublicationError(f"audit failed: {[r.rule for r in audit.select('rule').distinct().limit(5).collect()]}")
-    want = content_digest(df).first()
-    name = f"{intents.rstrip('/')}/{hashlib.sha256(destination.encode()).hexdigest()}"
-    intent = (INTENT_VERSION, destination, want.rows, want.digest)
-    recorded = _exists(spark, name) and [tuple(r) for r in spark.read.schema(INTENT).json(name).collect()] == [intent]
-    if _exists(spark, destination):
-        if not recorded:
-            raise PublicationError("destination exists and was not written by this publication")
-        if tuple(content_digest(spark.read.parquet(destination)).first()) != (want.rows, want.digest):
-            raise PublicationError("destination differs from the recorded publication")
-        return spark.read.schema(INTENT).json(name)
-    spark.createDataFrame([intent], INTENT).coalesce(1).write.mode("overwrite").json(name)
-    df.write.mode("errorifexists").parquet(destination)
-    if tuple(content_digest(spark.read.parquet(destination)).first()) != (want.rows, want.digest):
-        raise PublicationError("written table differs from what was verified")
+    staging = f"{destination}.staging-{uuid.uuid4().hex}"
+    glob, files = _files(spark, f"{destination}.staging-*")
+    for left in files.globStatus(glob) or ():
+        files.delete(left.getPath(), True)
+    try:
+        df.write.mode("errorifexists").parquet(staging)
+        want = content_digest(spark.read.parquet(staging)).first()
+        name = f"{intents.rstrip('/')}/{hashlib.sha256(destination.encode()).hexdigest()}"
+        intent = (INTENT_VERSION, destination, want.rows, want.digest)
+        recorded = _exists(spark, name) and [tuple(r) for r in spark.read.schema(INTENT).json(name).collect()] == [intent]
+        if _exists(spark, destination):
+            if not recorded:
+                raise PublicationError("destination exists and was not written by this publication")
+            if tuple(content_digest(spark.read.parquet(destination)).first()) != (want.rows, want.digest):
+                raise PublicationError("destination differs from the recorded publication")
+            return spark.read.schema(INTENT).json(name)
+        spark.createDataFrame([intent], INTENT).coalesce(1).write.mode("overwrite").json(name)
+        if not files.rename(_files(spark, staging)[0], _files(spark, destination)[0]):
+            raise PublicationError("destination could not be created")
+    finally:
+        files.delete(_files(spark, staging)[0], True)
     return spark.read.schema(INTENT).json(name)

@@ -13,14 +13,16 @@ from textsync.operators.align import align_segments
 from textsync.session import stage
 
 OUT = "book_id bigint, seg bigint, chunk_idx bigint, start_ms bigint, end_ms bigint, text string, status string"
+BUCKETS = 64
 STATE = "next_chunk bigint, next_seg bigint, last_end bigint, waiting string, failed boolean"
 
 
 def chunk_results(chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """Attach plan data to results (book_id, chunk_idx, ok, segments ARRAY<STRUCT<start_ms, end_ms, text>>)."""
+    """Attach plan data to results (book_id, chunk_idx, ok, segments ARRAY<STRUCT<start_ms, end_ms, text>>). Results
+    of chunks that no plan has keep a null offset; the merge reports them as ``unplanned``."""
     counts = plans.groupBy("book_id").agg(F.count("*").alias("n_chunks"))
     plan = plans.select("book_id", "chunk_idx", F.col("start_ms").alias("offset"), (F.col("end_ms") - F.col("start_ms")).alias("span"))
-    joined = chunks.join(plan.join(counts, "book_id"), ["book_id", "chunk_idx"])
+    joined = chunks.join(plan, ["book_id", "chunk_idx"], "left").join(counts, "book_id", "left")
     return joined.select(
         "book_id", "chunk_idx", "offset", "span", "n_chunks", "ok", F.to_json("segments").alias("segments")
     )
@@ -34,13 +36,15 @@ def _merge(timeout_ms: int | None):
             yield pd.DataFrame([(key[0], None, None, None, None, None, "abandoned")], columns=columns)
             return
         at, seg, last, waiting, failed = state.get if state.exists else (0, 0, 0, "{}", False)
-        held, total = json.loads(waiting), None
+        held, total, rows = json.loads(waiting), None, []
         for batch in batches:
             for r in batch.itertuples(index=False):
+                if pd.isna(r.offset):
+                    rows.append((key[0], None, int(r.chunk_idx), None, None, None, "unplanned"))
+                    continue
                 total = int(r.n_chunks)
                 if int(r.chunk_idx) >= at and str(r.chunk_idx) not in held:
                     held[str(r.chunk_idx)] = [int(r.offset), int(r.span), bool(r.ok), r.segments, total]
-        rows = []
         while not failed and str(at) in held:
             offset, span, ok, segments, total = held.pop(str(at))
             for s in json.loads(segments or "[]") if ok else []:
@@ -82,18 +86,20 @@ def stream_merge_chunks(chunk_stream: DataFrame, plans: DataFrame, timeout_ms: i
 
 
 def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, alignment_path: str, checkpoint: str):
-    """Write merged segments as they come and align each book in the batch that completes it."""
-    spark = sections.sparkSession
+    """Write merged segments as they come, in buckets of books, and align each book in the batch that completes
+    it. Only the buckets of finished books are read again."""
+    spark, bucket = sections.sparkSession, F.pmod(F.hash("book_id"), F.lit(BUCKETS)).cast("int")
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch = stage(batch)
-        batch.where("status = 'segment'").drop("status").write.mode("overwrite").parquet(f"{segments_path}/epoch={epoch}")
+        placed = batch.where("status = 'segment'").drop("status").withColumn("bucket", bucket)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{segments_path}/epoch={epoch}")
         finished = batch.where("status = 'complete'").select("book_id").distinct()
         if finished.isEmpty():
             return
-        known = spark.read.option("recursiveFileLookup", "true").schema(
-            ", ".join(OUT.split(", ")[:-1])
-        ).parquet(segments_path)
+        wanted = [r.bucket for r in finished.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS values at most
+        schema = ", ".join([*OUT.split(", ")[:-1], "epoch bigint", "bucket int"])
+        known = spark.read.schema(schema).parquet(segments_path).where(F.col("bucket").isin(wanted))
         ready = stage(known.join(finished, "book_id", "left_semi").select("book_id", "seg", "start_ms", "end_ms", "text"))
         books = sections.join(finished, "book_id", "left_semi")
         align_segments(ready, books).write.mode("overwrite").parquet(f"{alignment_path}/epoch={epoch}")
