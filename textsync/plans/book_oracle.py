@@ -213,8 +213,14 @@ SELECT ed.book_id, ed.edge_ms, coalesce(m, ed.edge_ms) AS refined_ms FROM ed LEF
     "merged_segments": f"""WITH {PARTS}, la AS (SELECT book_id, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'en' END AS language FROM pt GROUP BY ALL)
 SELECT pt.book_id, row_number() OVER (PARTITION BY pt.book_id ORDER BY chunk_idx, pos) - 1 AS seg, chunk_idx, chunk_idx * 25000 + pos * 500 AS start_ms, chunk_idx * 25000 + pos * 500 + 500 AS end_ms, text, language
 FROM pt JOIN la USING (book_id)""",
-    "stream_merge": f"""WITH {PARTS} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_idx, pos) - 1 AS seg, chunk_idx,
-  chunk_idx * 25000 + pos * 500 AS start_ms, chunk_idx * 25000 + pos * 500 + 500 AS end_ms, text FROM pt""",
+    "stream_merge": f"""WITH {PARTS}, bad AS (SELECT DISTINCT conv_id AS book_id FROM conversations WHERE conv_id % 11 = 3 AND turn = 1),
+s AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_idx, pos) - 1 AS seg, chunk_idx,
+  chunk_idx * 25000 + pos * 500 AS start_ms, chunk_idx * 25000 + pos * 500 + 500 AS end_ms, text FROM pt WHERE chunk_idx < 1 OR book_id NOT IN (SELECT book_id FROM bad)),
+al AS (SELECT DISTINCT conv_id AS book_id FROM conversations WHERE conv_id NOT IN (SELECT book_id FROM bad))
+SELECT *, 'segment' AS status FROM s
+UNION ALL SELECT book_id, NULL, 1, NULL, NULL, NULL, 'failed' FROM bad
+UNION ALL SELECT book_id, NULL, NULL, NULL, coalesce(max(end_ms), 0), NULL, 'complete' FROM al LEFT JOIN s USING (book_id) GROUP BY book_id
+UNION ALL SELECT conv_id, NULL, 1000, NULL, NULL, NULL, 'unplanned' FROM conversations WHERE conv_id % 13 = 5 AND turn = 0""",
     "merge_audit": f"""WITH {PARTS}, lt AS (SELECT *, CASE WHEN book_id % 5 = 0 THEN 24000 ELSE 0 END AS late FROM pt),
 lo AS (SELECT book_id, chunk_idx || '/' || pos AS e, pos * 500 + 500 + late AS z, chunk_idx * 25000 + pos * 500 + late AS gs,
   lag(chunk_idx * 25000 + pos * 500 + 500 + late) OVER (PARTITION BY book_id ORDER BY chunk_idx, pos) AS before FROM lt),
@@ -240,7 +246,7 @@ SELECT book_id, pv AS from_ms, t AS until_ms FROM o WHERE event_type = 'purchase
 UNION ALL SELECT book_id, t, duration_ms FROM o JOIN bk USING (book_id) WHERE event_type = 'error' AND nx IS NULL AND duration_ms > t""",
     "chapter_log": f"""WITH {MARKS} SELECT book_id, CASE WHEN event_id % 2 = 0 THEN t ELSE (t * 90 + 7) * 1000 // 90000 END AS boundary_ms
 FROM tl WHERE event_type = 'purchase' AND event_id % 5 <> 4""",
-    "duration_log": f"WITH {MARKS} SELECT book_id, arg_min(t, event_id) // 10 * 10 AS duration_ms FROM tl WHERE event_type = 'click' GROUP BY ALL",
+    "duration_log": f"WITH {MARKS} SELECT book_id, arg_min(t, event_id) // 10 * 10 AS duration_ms FROM tl GROUP BY ALL",
     "ocr_evidence": f"""WITH {BLK}, w AS (SELECT book_id, block_ord, unnest(regexp_split_to_array(text, ' +')) AS word, unnest(range(0, len(regexp_split_to_array(text, ' +')))) AS i FROM blk),
 c AS (SELECT *, CASE WHEN i % 5 = 4 THEN -1.0 WHEN block_ord % 4 = 1 THEN 10.0 ELSE (block_ord + i) % 90 + 10.0 END AS conf FROM w WHERE word <> ''),
 l AS (SELECT book_id, block_ord, i // 6 AS ln, string_agg(word, ' ' ORDER BY i) AS line, sum(conf) AS cs, count(*) AS n FROM c WHERE conf >= 0 GROUP BY ALL),
@@ -270,9 +276,8 @@ b AS (SELECT *, lag(e) OVER (PARTITION BY book_id ORDER BY seg) AS before FROM a
 d AS (SELECT book_id, id FROM a GROUP BY ALL HAVING count(*) > 1)
 {rules('b', 'seg', id_blank="id = ''", time_range='e <= s', overlap='s < before')} UNION ALL {rules('d', 'id', id_repeated='true')}""",
     "text_candidates": f"WITH {T}, {NEAR}, {jaccard(4)} SELECT * FROM tc",
-    "wide_candidates": f"""WITH {T.replace('truth AS (', 'truth0 AS (')}, truth AS (SELECT * REPLACE (CASE WHEN seg % 400 = 2 AND status = 'matched' THEN 'matched' ELSE 'unmatched' END AS status) FROM truth0
-  WHERE seg % 40 = 6 OR (seg % 400 = 2 AND status = 'matched')), {NEAR}, {jaccard(24)} SELECT * FROM tc""",
-    "silence_evidence": f"""WITH {MARKS}, v AS (SELECT book_id, event_id AS seg, t AS s, t + 2500 AS e FROM tl WHERE event_type = 'view'),
+    "wide_candidates": f"""WITH {T.replace('truth AS (', 'truth0 AS (')}, truth AS (SELECT * REPLACE (CASE WHEN seg % 400 = 2 AND status = 'matched' THEN 'matched' ELSE 'unmatched' END AS status) FROM truth0), {NEAR}, {jaccard(24)} SELECT * FROM tc""",
+    "silence_evidence": f"""WITH {MARKS}, v AS (SELECT book_id, event_id AS seg, t AS s, t + 2500 AS e FROM tl),
 x AS (SELECT v.book_id, v.seg, sum(CASE WHEN from_ms IS NOT NULL THEN least(e, until_ms) - greatest(s, from_ms) ELSE 0 END)::BIGINT AS q FROM v LEFT JOIN si ON si.book_id = v.book_id AND until_ms > from_ms AND s < until_ms AND from_ms < e GROUP BY ALL)
 SELECT book_id, seg, least(coalesce(q, 0), 2500) AS silent_ms, 2500 AS duration_ms, least(coalesce(q, 0), 2500) * 100 // 2500 AS percent FROM x""",
     "effective_alignment": f"WITH {APPLIED} SELECT book_id, seg, status, match_percent, href, line_index, start_char, end_char FROM ef",

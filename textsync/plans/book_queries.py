@@ -163,7 +163,7 @@ def chapter_log(spark: SparkSession, d: str) -> DataFrame:
 def duration_log(spark: SparkSession, d: str) -> DataFrame:
     clock = F.format_string("%d:%02d:%02d.%02d", idiv(F.col("t"), 3600000), idiv(F.col("t") % 3600000, 60000), idiv(F.col("t") % 60000, 1000), idiv(F.col("t") % 1000, 10))
     line = F.concat(F.lit("  Duration: "), clock, F.lit(", start: 0"))
-    return logs.read_durations(fx.timelines(spark, d).where("event_type = 'click'").select("book_id", F.col("event_id").alias("line_no"), line.alias("line")))
+    return logs.read_durations(fx.timelines(spark, d).select("book_id", F.col("event_id").alias("line_no"), line.alias("line")))
 
 
 def ocr_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -270,13 +270,12 @@ def wide_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The same without any match between a book's first and last slices: whole-book windows."""
     sparse = (F.col("seg") % 400 == 2) & (F.col("status") == "matched")
     rows = fx.truth(spark, d).withColumn("status", F.when(sparse, "matched").otherwise("unmatched"))
-    rows = rows.where((F.col("seg") % 40 == 6) | sparse)
     blocks = tokens.blocks_of(fx.sections(spark, d))
     return review.text_candidates(rows, blocks, 24).select("book_id", "seg", "block_ord", long("score_milli"))
 
 
 def silence_evidence(spark: SparkSession, d: str) -> DataFrame:
-    marks = fx.timelines(spark, d).where("event_type = 'view'").select("book_id", F.col("event_id").alias("seg"), F.col("t").alias("start_ms"), (F.col("t") + 2500).alias("end_ms"))
+    marks = fx.timelines(spark, d).select("book_id", F.col("event_id").alias("seg"), F.col("t").alias("start_ms"), (F.col("t") + 2500).alias("end_ms"))
     return review.silence_evidence(marks, fx.timeline_silences(spark, d))
 
 
@@ -579,19 +578,24 @@ def chunk_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns read as a file stream of chunk results and merged in order."""
+    """Conversation turns read as a file stream of chunk results and merged in order, with every state a book can end
+    in: some books' second chunk fails, some have a result that no plan knows."""
     source = spark.read.parquet(f"{d}/conversations.parquet").schema
     turns = spark.readStream.schema(source).option("pathGlobFilter", "conversations.parquet").parquet(d)
     lines = F.filter(F.transform(F.split("text", "\n"), fx.trim_space), lambda x: x != "")
     spoken = F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(lines)
     segments = F.transform(spoken, lambda x, i: F.struct((i * 500).alias("start_ms"), (i * 500 + 500).alias("end_ms"), x.alias("text")))
-    chunks = turns.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("bigint").alias("chunk_idx"), F.lit(True).alias("ok"), segments.alias("segments"))
+    book, turn = F.col("conv_id"), F.col("turn").cast("bigint")
+    places = F.when((book % 13 == 5) & (turn == 0), F.array(turn, turn + 1000)).otherwise(F.array(turn))
+    chunks = turns.select(book.alias("book_id"), F.explode(places).alias("chunk_idx"), (~((book % 11 == 3) & (turn == 1))).alias("ok"), segments.alias("segments"))
+    # the generator drops the names of fields made inside the lambda
+    chunks = chunks.withColumn("segments", F.col("segments").cast("array<struct<start_ms:bigint,end_ms:bigint,text:string>>"))
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     merged = merge.stream_merge_chunks(chunks, stage(fx.chunk_plans(spark, d)), timeout_ms=None)
     query = merged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema(merge.OUT).parquet(f"{base}/out")
-    return out.where("status = 'segment'").select("book_id", "seg", "chunk_idx", "start_ms", "end_ms", "text")
+    return out
 
 
 def line_anchors(spark: SparkSession, d: str) -> DataFrame:
