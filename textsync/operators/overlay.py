@@ -173,7 +173,7 @@ def unique_names(asked: DataFrame, used: DataFrame, scope: list[str]) -> DataFra
     suffix = F.regexp_extract("name", r"^(.*)-([2-9]|[1-9]\d+)$", 2)
     stem = F.regexp_extract("name", r"^(.*)-([2-9]|[1-9]\d+)$", 1)
     whole = used.select(*scope, F.col("name").alias("base"), F.lit(1).cast("bigint").alias("k"))
-    tailed = used.where(suffix != "").select(*scope, stem.alias("base"), suffix.cast("bigint").alias("k"))
+    tailed = used.where(suffix != "").select(*scope, stem.alias("base"), suffix.try_cast("bigint").alias("k"))
     taken = whole.unionByName(tailed).join(lone.select(*scope, "base").distinct(), [*scope, "base"], "left_semi")
     taken = taken.groupBy(*scope, "base").agg(F.array_sort(F.collect_set("k")).alias("taken"))
     number = _nth_free(F.col("nth") + 1, F.coalesce("taken", F.array().cast("array<bigint>")))

@@ -13,5 +13,19 @@ ORACLE = {
     "recompute_unknown": """WITH s(stage, o) AS (VALUES ('prepare', 0), ('analyze', 1), ('align', 2), ('review_audio', 3), ('encode', 4), ('build_epub', 5), ('validate', 6))
         SELECT doc_id AS book_id, stage, o < least(CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 7 END, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 7 END, CASE WHEN doc_id % 7 = 3 THEN 4 ELSE 7 END) AS reuse
         FROM documents, s""",
+    "edges_kept": """SELECT o_custkey AS book_id, o_orderkey::VARCHAR AS id, CASE WHEN k THEN 'assigned' ELSE 'pending' END AS state, CASE WHEN k THEN 'page-' || o_orderkey END AS href,
+          CASE WHEN k THEN CASE o_orderkey % 3 WHEN 0 THEN 'before_anchor' ELSE 'after_anchor' END END AS supplemental,
+          CASE WHEN k THEN CASE o_orderkey % 3 WHEN 0 THEN 'introduction' ELSE 'credits' END END AS classification, CASE WHEN k THEN 'manual' END AS source
+        FROM (SELECT *, o_orderkey % 2 = 0 AND o_orderkey % 3 < 2 AS k FROM orders)""",
+    "readouts_checked": """WITH o AS (SELECT o_custkey AS b, o_orderkey AS k, 'page-' || o_orderkey % 50 AS h, 'img-' || o_orderkey % 20 AS i FROM orders)
+        SELECT b AS book_id, 'readout_without_image' AS rule, k::VARCHAR AS entity FROM o WHERE k % 5 <> 0 AND k % 4 = 0
+        UNION ALL SELECT b, 'image_without_readout', k::VARCHAR FROM o WHERE k % 4 <> 0 AND k % 5 = 0
+        UNION ALL SELECT b, 'mixed_target', k::VARCHAR FROM o WHERE k % 4 <> 0 AND k % 17 = 0
+        UNION ALL SELECT b, 'time_range', k::VARCHAR FROM o WHERE k % 4 <> 0 AND k % 13 = 0
+        UNION ALL SELECT b, 'target_repeated', h || '#' || i FROM o WHERE k % 4 <> 0 GROUP BY b, h, i HAVING count(*) > 1
+        UNION ALL SELECT b, 'readout', k || ' ' || h || ' ' || i FROM o WHERE k % 4 <> 0""",
+    "resources_anchored": """SELECT o_orderkey AS book_id, CASE WHEN o_orderkey % 7 = 5 THEN 'absent' ELSE 'image' END AS image_href,
+          CASE WHEN o_orderkey % 7 = 5 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'own-' || o_orderkey WHEN o_orderkey % 2 = 0 THEN 'stl-graphic-s1-r1-2' ELSE 'stl-graphic-s1-r1' END AS anchor
+        FROM orders""",
     "windows_reversed": "SELECT o_orderkey AS book_id, 'window_reversed' AS rule, '1' AS entity FROM orders WHERE o_orderkey % 2 = 0",
 }

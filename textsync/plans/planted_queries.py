@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsync.functions import markup
-from textsync.operators import ledger, review
+from textsync.operators import ledger, overlay, review
 from textsync.plans import fixtures as fx
 from textsync.sources import logs
 
@@ -78,4 +78,48 @@ def windows_reversed(spark: SparkSession, d: str) -> DataFrame:
     return review.reversed_windows(review.review_windows(alignment, blocks))
 
 
-QUERIES = {f.__name__: f for f in (markup_references, silence_bounds, decisions_repeated, drafts_repeated, recompute_unknown, windows_reversed)}
+def edges_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Manual "keep" of every second order's item; a third each are introductions, credits and inner items."""
+    key = F.col("o_orderkey")
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), key, key.cast("string").alias("id"))
+    edge = F.when(key % 3 == 0, "introduction").when(key % 3 == 1, "credits")
+    items = orders.select("book_id", "id", edge.alias("edge"), F.concat(F.lit("page-"), key).alias("edge_href"), review.decision("pending").alias("decision"))
+    kept = review.keep_edges(items, orders.where(key % 2 == 0).select("book_id", "id"))
+    fields = [F.col(f"decision.{f}").alias(f) for f in ("state", "href", "supplemental", "classification", "source")]
+    return kept.select("book_id", "id", *fields)
+
+
+def readouts_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Resource decisions of orders with every fault a readout can have, and the readouts themselves."""
+    key = F.col("o_orderkey")
+    image = F.when(key % 4 != 0, F.concat(F.lit("img-"), key % 20))
+    kind = F.when(key % 5 != 0, "graphic_readout")
+    given = review.decision("assigned", href=F.concat(F.lit("page-"), key % 50), image_href=image, classification=kind, line_index=F.when(key % 17 == 0, 3))
+    items = fx.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("book_id"), key.alias("seg"), F.lit(0).cast("bigint").alias("start_ms"),
+        F.when(key % 13 == 0, 0).otherwise(100).cast("bigint").alias("end_ms"), given.alias("decision"),
+    )
+    readouts, broken = overlay.resource_readouts(items)
+    return broken.unionByName(readouts.select("book_id", F.lit("readout").alias("rule"), F.concat_ws(" ", F.col("seg").cast("string"), "href", "image_href").alias("entity")))
+
+
+def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
+    """A wanted resource in a page of each order: with an id of its own, without, with the made id taken, or absent."""
+    key = F.col("o_orderkey")
+    page = fx.table(spark, d, "orders").select(key.alias("book_id"), F.lit("page").alias("href"))
+    book = F.col("book_id")
+    twice = page.withColumn("image_ordinal", F.explode(F.array(F.lit(0), F.lit(1))))
+    own = F.when((book % 3 == 0) & (F.col("image_ordinal") == 0), F.concat(F.lit("own-"), book)).when(F.col("image_ordinal") == 1, "second").otherwise(" ")
+    refs = twice.select("book_id", "href", F.lit("image").alias("image_href"), "image_ordinal", own.alias("element_id"), F.lit(0).alias("section_ord"))
+    wanted = page.select("book_id", "href", F.when(book % 7 == 5, "absent").otherwise("image").alias("image_href"), F.lit(0).cast("bigint").alias("review_ord"))
+    used = page.where(book % 2 == 0).select("book_id", "href", F.lit(f"{overlay.ID_PREFIX}-graphic-s1-r1").alias("name"))
+    return overlay.resource_anchors(refs, wanted, used).select("book_id", "image_href", "anchor")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        markup_references, silence_bounds, decisions_repeated, drafts_repeated, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        resources_anchored,
+    )
+}
