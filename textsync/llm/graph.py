@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textsync.session import stage
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over each batch of links: every node with the smallest node it is joined to."""
     for batch in batches:
         parent: dict[int, int] = {}
@@ -31,6 +31,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in apart], pa.int64()), pa.array([roots[i] for i in apart], pa.int64())], ["u", "v"])
 
 
+#: Narrow rows that one task handles; fewer tasks follow a shuffle if there are not enough rows for more.
+ROWS = 50_000
+
+
+def fitted(df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows fill. Shuffle partitions are merged, nothing is moved."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, component)`` for every node with a link; the component is its smallest node.
 
@@ -41,19 +50,22 @@ def components(links: DataFrame) -> DataFrame:
     but a count and a checksum a round. Null ends and loops are left out.
     """
     clean = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = stage(clean.mapInArrow(_forest, "u long, v long").distinct())
+    edges = stage(clean.mapInArrow(forest, "u long, v long"))
+    rows = edges.count()
+    edges = stage(fitted(edges.distinct(), rows))
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = fitted(both.groupBy("u").agg(F.min("v").alias("m")), rows).select("u", F.least("u", "m").alias("m"))
+        # an edge may come twice: both ends are in order, so the next distinct sorts it out
+        large = stage(fitted(both.where("v > u").join(least, "u"), rows).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = stage(fitted(large.groupBy("u").agg(F.min("v").alias("m")), rows))
+        moved = fitted(large.join(least, "u"), rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(fitted(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows))
         before, state = state, _state(edges)
         if state == before:
             break
-    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    roots = fitted(edges.select(F.col("v").alias("node")).distinct(), rows).withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsync.llm.flat import STEP, Spans, flatten, mixed, slices, windows, word_spans
-from textsync.llm.graph import components
+from textsync.llm.graph import components, fitted, forest
 from textsync.session import stage
 
 #: Bands and the signature places of each. A pair at similarity 0.8 shares no band with probability
@@ -18,8 +18,10 @@ from textsync.session import stage
 BANDS, PLACES = 42, 6
 #: Text bytes turned into shingles together; shingles permuted together.
 CHUNK, TOGETHER = 1 << 20, 1 << 14
-#: Rounds with one hub a bucket before the pairs that are left are compared one by one.
-ROUNDS = 4
+#: Documents of one side of a block comparison; shingles of a block that are counted together.
+BLOCK, COLUMNS = 512, 4096
+#: Pairs of full sets that one task compares at least.
+PAIRS = 2_000
 
 
 def shingle_sets(cells: pa.Array, words: int) -> list[np.ndarray]:
@@ -34,10 +36,10 @@ def shingle_sets(cells: pa.Array, words: int) -> list[np.ndarray]:
     own = np.searchsorted(at, first), np.searchsorted(at, first + count)
     sets = [np.unique(runs[a:b]) for a, b in zip(*own)]
     for i in np.flatnonzero((count > 0) & (count < words)):
-        whole = np.uint64(count[i])
+        whole = np.full(1, count[i], np.uint64)
         for word in content[first[i] : first[i] + count[i]]:
-            whole = mixed(np.array([whole * STEP + word]))[0]
-        sets[i] = np.array([whole])
+            whole = mixed(whole * STEP + word)
+        sets[i] = whole
     return sets
 
 
@@ -132,11 +134,9 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80, bands: int =
     1. Documents with equal sets form a class; only its smallest document goes on.
     2. Bands of the signature put classes in buckets. In a bucket all members are compared with a hub, its
        smallest member, on full sets: as many pairs as members. Links are grouped by union-find.
-    3. Buckets whose members are still in several groups go on with another hub, and after a few
-       rounds every pair of members in different groups is compared, unless it is ruled out exactly: by
-       set sizes, or because the distances to the same hub differ by more than a link allows (Jaccard
-       distance is a metric). Pairs inside one group need no comparison. So no candidate is lost, and a
-       group of near-copies costs pairs in proportion to its size.
+    3. What buckets leave open is settled exactly (:func:`_open`, :func:`_peeled`, :func:`_blocks`), comparing
+       full sets block by block inside tasks. Nothing is compared inside one group, and only links leave a task.
+       So no candidate is lost, and no list of pairs is made.
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and kept.
     Rows with a null id are left out; repeated rows of one id count as one document, the row with the
@@ -148,31 +148,20 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80, bands: int =
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = stage(filled.drop("bands").join(classes, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
     first = filled.join(classes.select(F.col("rep").alias("doc_id"), "one", "two"), ["doc_id", "one", "two"])
-    keyed = stage(first.select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("key")))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = stage(keyed.join(hubs, "key").select("key", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), "m"))
-    wanted = buckets.select("doc_id").distinct()
-    sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
-    fits = f"least(n, hub_n) * 100 >= greatest(n, hub_n) * {percent}"
-    tested = _compare(buckets.where(f"doc_id <> hub AND {fits}").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), sets)
-    linked = f"100 * common >= {percent} * (na + nb - common)"
-    groups = stage(components(tested.where(linked).select("a", "b")))
-    for turn in range(1, ROUNDS + 1):
-        now = buckets.where("m > 2").join(groups, buckets["doc_id"] == groups["node"], "left")
-        now = now.select("key", "doc_id", "n", "hub", "hub_n", F.coalesce("component", "doc_id").alias("component"))
-        open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-        rest = stage(now.join(open_, "key"))
-        if rest.isEmpty():
-            break
-        share = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"))
-        pairs, rows = share.agg(F.sum(F.col("c") * (F.col("m") - F.col("c"))) / 2, F.sum("c")).first()
-        last = turn == ROUNDS or pairs <= 8 * rows + 100_000
-        todo = (_other_pairs(rest, tested, percent) if last else _next_hub(rest, turn, percent)).join(tested, ["a", "b"], "left_anti")
-        more = _compare(todo, sets)
-        tested = stage(tested.unionByName(more))
-        groups = stage(components(tested.where(linked).select("a", "b")))
-        if last:
-            break
+    keyed = stage(first.select("doc_id", "n_shingles", "bands")).select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    hubs = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    buckets = stage(keyed.join(hubs, "key").where("m > 2 OR doc_id <> hub").select("key", "doc_id", "hub", "m"))
+    met = buckets.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.max("m").alias("m"))
+    pairs = stage(fitted(met, buckets.count()))
+    wanted = fitted(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), 2 * pairs.count())
+    sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    tested = _compare(pairs, sets)
+    near = tested.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+    groups = stage(components(near))
+    scope = _open(buckets.where("m > 2"), tested.where("m > 2"), groups, percent)
+    if not scope.isEmpty():
+        scope = _peeled(scope, sets, percent)
+        groups = stage(components(near.unionByName(_blocks(scope, sets, percent))))
     grouped = member.join(groups, member["rep"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     every = grouped.unionByName(empty).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
@@ -183,26 +172,97 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Sizes of both full sets and of what they share."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    return stage(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")))
-
-
-def _next_hub(rest: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a new hub a bucket, outside the group of the smallest, with the members of other groups."""
-    pick = F.min(F.when(F.col("component") != F.col("low"), F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "n", "component")))
-    hubs = rest.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.doc_id").alias("x"), F.col("p.n").alias("xn"), F.col("p.component").alias("xc"))
-    met = rest.join(hubs, "key").where(f"component <> xc AND least(n, xn) * 100 >= greatest(n, xn) * {percent}")
-    return met.select(F.greatest("doc_id", "x").alias("a"), F.least("doc_id", "x").alias("b")).distinct()
-
-
-def _other_pairs(rest: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket in different groups that sizes and distances to the hub do not rule out."""
-    near = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    placed = rest.join(near, ["doc_id", "hub"], "left")
-    placed = stage(placed.select("key", "doc_id", "n", "component", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far")))
-    x = placed.select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "component", "far")])
-    met = placed.join(x, "key").where(
-        f"doc_id > x_doc_id AND component <> x_component AND least(n, x_n) * 100 >= greatest(n, x_n) * {percent}"
-        f" AND (far IS NULL OR x_far IS NULL OR abs(far - x_far) <= {(100 - percent) / 100 + 1e-9})"
-    )
-    return met.select(F.col("doc_id").alias("a"), F.col("x_doc_id").alias("b")).distinct()
+    both = fitted(fitted(pairs.join(a, "a"), pairs.count(), PAIRS).join(b, "b"), pairs.count(), PAIRS)
+    return stage(both.select("a", "b", "m", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")))
+
+
+def _grouped(rows: DataFrame, groups: DataFrame, column: str, name: str) -> DataFrame:
+    own = groups.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _open(buckets: DataFrame, tested: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Documents that may have a link which is not known yet: ``(doc_id, component, cluster)``.
+
+    Such a link joins two groups inside one bucket, and one end at least is not in the group of the hub. Jaccard
+    distance is a metric: two members can only be linked if their distances to the hub differ by no more
+    than a link allows. So members are put in bins of that width by their distance, and a bin is open if it
+    and its neighbours hold more than one group. Clusters join the documents of open bins."""
+    pairs, members = tested.count(), buckets.count()
+    apart = fitted(_grouped(_grouped(tested.select("a", "b"), groups, "a", "ga"), groups, "b", "gb"), pairs).where("ga <> gb")
+    apart = stage(apart.select(F.col("a").alias("doc_id"), F.col("b").alias("hub")))
+    keys = stage(fitted(buckets.join(apart, ["doc_id", "hub"], "left_semi").select("key").distinct(), members))
+    rows = stage(fitted(buckets.join(keys, "key", "left_semi"), members).select("key", "doc_id", "hub"))
+    held_rows = rows.count()
+    far = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
+    width = (100 - percent) / 100 + 1e-9
+    bins = F.floor(F.coalesce("far", F.lit(0.0)) / F.lit(width)).cast("int")  # the hub is at no distance
+    rows = fitted(rows.join(far, ["doc_id", "hub"], "left"), held_rows).select("key", "doc_id", bins.alias("bin"))
+    rows = stage(fitted(_grouped(rows, groups, "doc_id", "component"), held_rows))
+    sums = fitted(rows.groupBy("key", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("least")), held_rows)
+    spread = sums.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "low", "high", "least")
+    open_ = spread.groupBy("key", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least")).where("low <> high")
+    open_ = stage(fitted(open_.select("key", "bin", "least"), held_rows))
+    held = stage(fitted(rows.join(open_, ["key", "bin"]), held_rows).select("doc_id", "component", "least"))
+    # an open bin's documents meet its least document and those of the bins beside it
+    clusters = components(held.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    scope = fitted(held.select("doc_id", "component").distinct(), held_rows)
+    return stage(fitted(_grouped(scope, clusters, "doc_id", "cluster"), held_rows))
+
+
+def _peeled(scope: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Leave out documents with too many shingles that no other document of the scope has: they are linked
+    with none of it. Then leave out clusters of one group."""
+    shingle = sets.join(scope.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    alone = shingle.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("df = 1")
+    docs = scope.count()
+    lone = fitted(alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")), docs).where(f"100 * (n - u) < {percent} * n").select("doc_id")
+    left = stage(fitted(scope.join(lone, "doc_id", "left_anti"), docs))
+    mixed_ = left.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return stage(fitted(left.join(fitted(mixed_.select("cluster", "size"), docs), "cluster"), docs))
+
+
+def _links(percent: int):
+    """Links between documents of different groups in one block, or across two."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        doc, group, side = (np.asarray(rows[c]) for c in ("doc_id", "component", "block"))
+        cells = rows["shingles"].chunk(0)
+        size = np.diff(np.asarray(cells.offsets))
+        owner = np.repeat(np.arange(len(doc)), size)
+        _, column, count = np.unique(np.asarray(cells.flatten()), return_inverse=True, return_counts=True)
+        owner, column = owner[count[column] > 1], column[count[column] > 1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+        x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
+        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        common = np.zeros((len(left), len(right)))
+        place = np.zeros((2, len(doc)), np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + COLUMNS + 1, COLUMNS))
+        for number, (begin, end) in enumerate(zip(edges[:-1], edges[1:])):
+            own, at = owner[begin:end], column[begin:end] - number * COLUMNS
+            parts = []
+            for k, value, total in ((0, x, len(left)), (1, y, len(right))):
+                some = side[own] == value
+                part = np.zeros((total, COLUMNS), np.float32)
+                part[place[k, own[some]], at[some]] = 1
+                parts.append(part)
+            common += parts[0] @ parts[1].T
+        both = size[left][:, None] + size[right][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * both) & (group[left][:, None] != group[right][None, :]))
+        return pa.table({"a": pa.array(doc[left[i]], pa.int64()), "b": pa.array(doc[right[j]], pa.int64())})
+
+    return run
+
+
+def _blocks(scope: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of each cluster. A cluster is cut in blocks of about ``BLOCK`` documents by a
+    hash of the id; a task has two blocks and counts shared shingles by matrix products in bounded pieces."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = scope.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rows = rows.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    found = rows.select("cluster", "x", "y", "doc_id", "component", "block", "shingles").groupBy("cluster", "x", "y").applyInArrow(_links(percent), "a long, b long")
+    return stage(found.mapInArrow(forest, "u long, v long")).select(F.col("u").alias("a"), F.col("v").alias("b"))
