@@ -419,6 +419,12 @@ def test_toxicity_held_out(spark):
     assert all(r["score"] < 0.3 for r in got if r["doc_id"] >= 700)
 
 
+@pytest.mark.parametrize("texts", [["", None], ["you idiot.", ""], ["", "x. y"], [None]])
+def test_toxicity_of_empty_texts_anywhere(texts):
+    model = toxicity.fit([("a b. you idiot.", 1), ("the sun", 0), ("", 0)], rounds=3)
+    assert len(model.scores(pa.array(texts, pa.string()))) == len(texts)
+
+
 def test_counterfactual_penalty_frees_identity_terms():
     texts = toxic_rows(400, True)
     neutral = pa.array(["the muslims say good morning to people.", "the people say good morning to people.", "you idiot."])

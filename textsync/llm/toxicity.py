@@ -45,12 +45,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct words of every sentence: their features, and their sentence; and the document of each sentence.
 
     A word is a run of letters; its features are buckets of the whole word and of its beginnings. A
-    sentence ends at a stop or a line's end. Sentences are numbered through; each document has one at least.
+    sentence ends at a stop or a line's end. Sentences are numbered through; an empty document has none.
     """
     data = lowered(data)
     cut = np.flatnonzero(STOP[data]) + 1
-    begins = np.unique(np.concatenate([offsets[:-1], cut[cut < len(data)]]))
-    # empty documents share their beginning with the next; they are given their sentence by the caller
+    begins = np.unique(np.concatenate([offsets[:-1], cut]))
+    begins = begins[begins < len(data)]  # an empty document has no sentence
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -118,6 +118,16 @@ class Swaps:
         np.add.at(weights, self.terms, ((better - worth) / self.terms.shape[1])[:, None])
 
 
+def _features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`features` of many texts, computed in bounded chunks."""
+    parts, sentences, documents = [], 0, 0
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", CHUNK):
+        found, sentence, document = features(*flatten(part.column(0)))
+        parts.append((found, sentence + sentences, document + documents))
+        sentences, documents = sentences + len(document), documents + part.num_rows
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def fit(
     texts: Sequence[tuple[str, int]], groups: Sequence[Sequence[str]] = IDENTITY, penalty: float = 1.0, inserted: int = 100, rounds: int = 60, rate: float = 0.25, decay: float = 1e-5,
 ) -> Model:
@@ -131,7 +141,7 @@ def fit(
     labels = np.array([y for _, y in texts], float)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 4.0 if len(labels) and labels[0] else -4.0)
-    found, sentence, document = features(*flatten(pa.array([t for t, _ in texts], pa.large_string())))
+    found, sentence, document = _features_of([t for t, _ in texts])
     n, docs = len(document), len(labels)
     swaps = Swaps(found, groups, inserted, penalty)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (docs - labels.sum())) * docs
