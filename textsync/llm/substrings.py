@@ -16,7 +16,7 @@ from textsync.llm.flat import Spans, flatten, slices
 from textsync.session import stage
 
 #: Bytes of an anchor; bytes compared by the shallow sort; text bytes anchored and suffixes sorted together.
-ANCHOR, SHALLOW, CHUNK, TOGETHER = 32, 24, 1 << 20, 400_000
+ANCHOR, SHALLOW, CHUNK, TOGETHER = 32, 24, 1 << 19, 250_000
 #: Anchors of one key beyond which its strings are counted by their hashes, with partial sums.
 HOT = 50_000
 
