@@ -242,6 +242,13 @@ def test_personal_data(spark):
     assert clean[4] == "[PHONE]" and clean[0] is None and clean[1] == "" and clean[23] == "password=[CONTEXT] then"
 
 
+def test_long_values_are_redacted_whole(spark):
+    """Keys of 200 characters that share their first 190: the whole value is one span, and each is a node of its own."""
+    values = ["Qx7" * 60 + "abcdefghij" + f"{i:03d}END4567" for i in range(5)]
+    frame = spark.createDataFrame([(i, f"apikey={v} tail{i}") for i, v in enumerate(values)], "doc_id long, text string")
+    assert {r["text"] for r in pii.redact(frame).collect()} == {f"apikey=[CONTEXT] tail{i}" for i in range(5)}
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 3, 50, 400])), rng.choice(["a", "a", "a", "b", "c", None]), 1.5) for i in range(600)]

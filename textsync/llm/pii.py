@@ -19,8 +19,8 @@ BASE = {
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: A cue (a word with : or =) and the value after it.
-CUE = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,24})(\x20?[:=]\x20?)[\x22']?(\+[0-9][\x20().0-9-]+[0-9]|[^\s\x22'<>,;/][^\s\x22'<>,;]{5,63})"
+#: A cue (a word with : or =) and the whole value after it.
+CUE = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,24})(\x20?[:=]\x20?)[\x22']?(\+[0-9][\x20().0-9-]+[0-9]|[^\s\x22'<>,;/][^\s\x22'<>,;]{5,}+)"
 CONTEXT = "context"
 KINDS = [*BASE, CONTEXT]
 #: Score of a seed that only looks opaque; least score of a pattern; distinct values it needs; weight of doubt; rounds.
