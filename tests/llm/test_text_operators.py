@@ -249,6 +249,20 @@ def test_long_values_are_redacted_whole(spark):
     assert {r["text"] for r in pii.redact(frame).collect()} == {f"apikey=[CONTEXT] tail{i}" for i in range(5)}
 
 
+def test_seeds_in_running_text_induce_patterns(spark):
+    """Emails teach 'reach me at', that teaches the handles found there, and those teach 'pager code'; no cue anywhere."""
+    texts = [f"Please reach me at u{i}@mail{i}.example, thanks" for i in range(9)]
+    texts += [f"You may reach me at hnd{i}Zq now{i} or" for i in range(3)]
+    texts += [f"the old pager code hnd{i}Zq rang{i} ok" for i in range(3)] + ["an old pager code (k7Lost) rings here", "no code k9Free for x7"]
+    texts += [f"we walk at noon{i} on day{i}" for i in range(5)]
+    frame = spark.createDataFrame([*enumerate(texts), (9, texts[9]), (None, texts[9])], "doc_id long, text string")
+    rows = pii.per_document(frame).collect()
+    found = {r["text"][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == pii.CONTEXT}
+    assert {x for x in found if "@" not in x} == {"hnd0Zq", "hnd1Zq", "hnd2Zq", "k7Lost"}
+    assert len(rows) == len(frame.collect()) and all(len([s for s in r["spans"] if s["kind"] == pii.CONTEXT]) == 1 for r in rows if "hnd0Zq" in r["text"])
+    assert "an old pager code ([CONTEXT]) rings here" in {r["text"] for r in pii.redact(frame).collect()}
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 3, 50, 400])), rng.choice(["a", "a", "a", "b", "c", None]), 1.5) for i in range(600)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from textsync.llm.graph import fitted
 from textsync.session import stage
 
 #: Base kinds in their order. They find what [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+,
@@ -23,6 +24,15 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CUE = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,24})(\x20?[:=]\x20?)[\x22']?(\+[0-9][\x20().0-9-]+[0-9]|[^\s\x22'<>,;/][^\s\x22'<>,;]{5,}+)"
 CONTEXT = "context"
 KINDS = [*BASE, CONTEXT]
+#: A word of running text: a base match, a word before : or =, or a run that neither begins nor ends with punctuation.
+WORD = (
+    "|".join([BASE["email"], *(f"(?:{x})(?![\\p{{L}}\\p{{N}}_])" for x in (BASE["ip"], BASE["phone"], r"[0-9](?:[\x20-]?[0-9]){13,}+"))])
+    + r"|[\p{L}_-]{3,}+(?=[:=])|[^\s\p{Ps}\p{Pe}\p{Pi}\p{Pf}\x22'<>,;.:!?|=](?:[^\s\x22'<>,;]*[^\s\p{Ps}\p{Pe}\p{Pi}\p{Pf}\x22'<>,;.:!?|])?"
+)
+#: Words around a value that make a pattern, by their distance from it: two before, one on each side, two after.
+AROUND = ((-2, -1), (-1, 1), (1, 2))
+#: Bits of the map of hashes that a pass over the texts looks for.
+MAP = 1 << 25
 #: Score of a seed that only looks opaque; least score of a pattern; distinct values it needs; weight of doubt; rounds.
 OPAQUE, CONFIDENT, SUPPORT, DOUBT, ROUNDS = 0.7, 0.6, 3, 0.5, 5
 
@@ -80,20 +90,48 @@ def content_hash() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
-def bootstrap(cues: DataFrame) -> DataFrame:
-    """Confident patterns from ``cues(pattern, value)``: ``(pattern, confidence, values)``.
+def _words(docs: DataFrame) -> DataFrame:
+    """Every word of every text as ``(content, at, value, patterns)``: hashes of the word and of what surrounds it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(content_hash().alias("content"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
+    found = found.select("content", "_words", F.transform("_words", lambda w: F.xxhash64(F.lower(w))).alias("_near"))
 
-    The graph has an edge for each distinct (pattern, value). A value that a base kind confirms starts at
-    score 1, an opaque string of letters and digits at ``OPAQUE``, any other at 0. Each round a pattern's
-    confidence is the mean score of its values, shrunk by ``DOUBT``, and a value's score becomes the noisy-or
-    of the confident patterns that hold it, if that is more. Rounds end when no score moves. A pattern
-    counts with at least ``SUPPORT`` distinct values. A pattern or value that fills a third of all rows is
-    pre-aggregated before it moves, and is the split side of its joins.
-    """
-    edges = stage(cues.select("pattern", "value").distinct())
-    value = F.col("value")
+    def near(i, step):  # nothing there counts as a word of its own
+        return F.coalesce(F.get("_near", i + step), F.lit(0).cast("long"))
+
+    row = F.transform("_words", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("value"), F.array(*[F.xxhash64(F.lit(k), near(i, x), near(i, y)) for k, (x, y) in enumerate(AROUND)]).alias("patterns")))
+    return found.select("content", F.explode(row).alias("w")).select("content", "w.*")
+
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash in ``column`` has its bit set in a bit map of the wanted ones: all of those and a few others.
+
+    At most ``MAP`` / 64 rows are broadcast, 12 MB; with many more hashes than bits it only stops sparing."""
+    bit = F.pmod(F.col(column), F.lit(MAP))
+    mask = F.expr("shiftleft(1L, cast(_bit & 63 as int))")
+    words = wanted.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    placed = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    return placed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(mask) != 0).select(rows.columns)
+
+
+def _held(docs: DataFrame, column: str, wanted: DataFrame, *columns: str) -> DataFrame:
+    """Distinct ``columns`` of the words of running text, a row for each pattern, whose ``column`` is in ``wanted``.
+
+    What is found is pre-aggregated before it moves, so a frequent pattern is as many rows as it has values."""
+    words = _words(docs)
+    if column == "value":
+        words = _among(words, column, wanted)
+    rows = words.withColumn("pattern", F.explode("patterns"))
+    if column != "value":
+        rows = _among(rows, column, wanted)
+    rows = rows.select(*{column: 0, **dict.fromkeys(columns)}).distinct()
+    return stage(rows.join(wanted.select(column), column, "left_semi").select(*columns).distinct())
+
+
+def seed(value: Column) -> Column:
+    """The score a value behind a cue starts with."""
     digits = _digits(value)
-    seed = (
+    return (
         F.when(value.rlike("^" + BASE["email"].split("|\\G)")[1] + "$"), 1.0)
         .when(value.rlike("^[0-9]+(?:\\.[0-9]+){3}$") & valid(F.lit("ip"), value), 1.0)
         .when(value.rlike("^" + BASE["card"] + "$") & valid(F.lit("card"), value), 1.0)
@@ -101,35 +139,90 @@ def bootstrap(cues: DataFrame) -> DataFrame:
         .when((F.length(value) >= 16) & value.rlike("^[A-Za-z0-9+/_=-]+$") & value.rlike("[A-Za-z]") & (F.length(digits) >= 4), OPAQUE)
         .otherwise(0.0)
     )
-    scores = stage(edges.select("value").distinct().withColumn("score", seed))
+
+
+def _scored(edges: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confident patterns ``(pattern, confidence, values)`` and the scores over 0 after rounds on a graph of patterns and values."""
+    n = edges.count()
     before = None
     for _ in range(ROUNDS):
-        held = edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("confidence"), F.count(F.lit(1)).alias("values"))
-        patterns = stage(held.where(f"confidence >= {CONFIDENT} AND values >= {SUPPORT}"))
+        held = fitted(edges.join(scores, "value", "left"), n).groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count(F.lit(1)) + DOUBT)).alias("confidence"), F.count(F.lit(1)).alias("values"))
+        patterns = stage(fitted(held, n).where(f"confidence >= {CONFIDENT} AND values >= {SUPPORT}"))
         state = patterns.agg(F.count(F.lit(1)), F.sum(F.round("confidence", 6))).first()
         if state == before:
             break
         before = state
-        lifted = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("lift"))
-        scores = stage(scores.join(lifted, "value", "left").select("value", F.greatest("score", F.coalesce("lift", F.lit(0.0))).alias("score")))
-    return patterns
+        lifted = fitted(edges.join(patterns, "pattern"), n).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
+        scores = stage(fitted(scores.unionByName(fitted(lifted, n)).groupBy("value").agg(F.max("score").alias("score")), scores.count() + n))
+    return patterns, scores
+
+
+def bootstrap(docs: DataFrame, cues: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Confident patterns: ``(pattern, confidence, values)``.
+
+    The graph has an edge for each distinct (pattern, value), both hashes. ``cues(pattern, value)`` are all edges of
+    the patterns that are a cue; ``seeds(value, score)`` are the values known at first: what a base kind finds
+    anywhere scores 1, an opaque string of letters and digits behind a cue ``OPAQUE``, any other value 0. Each round
+    a pattern's confidence is the mean score of its values, shrunk by ``DOUBT``, and a value's score becomes the
+    noisy-or of the confident patterns that hold it, if that is more. A pattern counts with at least ``SUPPORT``
+    distinct values.
+
+    Values of a score induce patterns of running text (``AROUND``): one pass finds the patterns around all of them,
+    another all values in those patterns. A pattern whose known values could not make it confident if it held no
+    other is passed over until it has more of them, which changes no result, as other values only lower its mean.
+    This goes on until no pattern is new.
+    """
+    edges = stage(cues.select("pattern", "value").distinct())
+    scores = stage(seeds.where("score > 0").groupBy("value").agg(F.max("score").alias("score")))
+    scanned, seen, complete = scores.select("value").limit(0), edges.limit(0), edges.select("pattern").limit(0)
+    while True:
+        patterns, scores = _scored(edges, scores)
+        fresh = stage(scores.select("value").join(scanned, "value", "left_anti"))
+        if not fresh.isEmpty():
+            seen, scanned = seen.unionByName(_held(docs, "value", fresh, "pattern", "value")), scanned.unionByName(fresh)
+        best = seen.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("values"))
+        best = best.where(F.col("sum") >= CONFIDENT * (F.greatest("values", F.lit(SUPPORT)) + DOUBT) - 1e-9).select("pattern")
+        new = stage(best.join(complete, "pattern", "left_anti"))
+        if new.isEmpty():
+            return patterns
+        edges, complete = edges.unionByName(_held(docs, "pattern", new, "pattern", "value")), complete.unionByName(new)
+
+
+def _running(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``(doc_id, content, start, end)`` of the words of running text in a trusted pattern."""
+    hits = _held(docs, "pattern", trusted, "content", "at")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    some = _among(docs.select("doc_id", content_hash().alias("content"), text.alias("text")), "content", hits)
+    word = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"), F.split("text", WORD, -1).alias("gap"))
+    rows = some.select("doc_id", "content", F.posexplode(word).alias("at", "w")).select("doc_id", "content", "at", F.length("w.gap").alias("gap"), F.length("w.word").alias("size"))
+    order = W.partitionBy("doc_id", "content").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.dropDuplicates(["doc_id", "content", "at"]).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order))
+    return rows.join(hits, ["content", "at"]).select("doc_id", "content", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Personal data in every whole text: ``(doc_id, content, kind, start, end)``, code points, end exclusive.
 
     Base kinds first, each leftmost and non-overlapping, invalid matches dropped without another try; then
-    ``context``: values behind a cue whose pattern :func:`bootstrap` trusts. Null and empty texts have none.
+    ``context``: values behind a cue or among words whose pattern :func:`bootstrap` trusts, without those inside
+    another. Null and empty texts have none.
     """
     found = stage(matches(docs))
     base = found.where(F.col("kind") != CONTEXT).where(valid(F.col("kind"), F.col("found")))
     cue = found.where(F.col("kind") == CONTEXT)
     word, mark, value = (F.regexp_extract("found", CUE, i) for i in (1, 2, 3))
     quoted = F.when(F.length(value) > 0, F.length(value)).otherwise(0)
-    cue = stage(cue.select("doc_id", "content", F.concat(F.lower(word), F.trim(mark)).alias("pattern"), value.alias("value"), (F.col("end") - quoted).alias("start"), "end"))
-    trusted = bootstrap(cue)
-    more = cue.join(trusted.select("pattern"), "pattern", "left_semi").select("doc_id", "content", F.lit(CONTEXT).alias("kind"), "start", "end")
-    return base.select("doc_id", "content", "kind", "start", "end").unionByName(more)
+    pattern = F.xxhash64(F.lit(len(AROUND)), F.concat(F.lower(word), F.trim(mark)))
+    cue = stage(cue.select("doc_id", "content", pattern.alias("pattern"), F.xxhash64(value).alias("value"), seed(value).alias("score"), (F.col("end") - quoted).alias("start"), "end"))
+    seeds = cue.select("value", "score").unionByName(base.select(F.xxhash64("found").alias("value"), F.lit(1.0).alias("score")))
+    trusted = stage(bootstrap(docs, cue, seeds).select("pattern"))
+    more = cue.join(trusted, "pattern", "left_semi").select("doc_id", "content", "start", "end")
+    running = trusted.join(cue, "pattern", "left_anti")
+    if not running.isEmpty():
+        more = more.unionByName(_running(docs, running))
+    covered = F.max("end").over(W.partitionBy("doc_id", "content").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1))
+    more = more.withColumn("_covered", covered).where("_covered IS NULL OR end > _covered")
+    return base.select("doc_id", "content", "kind", "start", "end").unionByName(more.select("doc_id", "content", F.lit(CONTEXT).alias("kind"), "start", "end"))
 
 
 def per_document(docs: DataFrame) -> DataFrame:
