@@ -263,6 +263,15 @@ def test_seeds_in_running_text_induce_patterns(spark):
     assert "an old pager code ([CONTEXT]) rings here" in {r["text"] for r in pii.redact(frame).collect()}
 
 
+def test_rounds_go_on_while_patterns_are_new(spark):
+    """Pattern k holds blocks k and k + 1 of values, each half as large: the last is confident after more than five rounds."""
+    blocks = [range(1000 * k, 1000 * k + n) for k, n in enumerate((96, 48, 24, 12, 6, 3))]
+    edges = spark.createDataFrame([(k, v) for k in range(5) for b in blocks[k : k + 2] for v in b] + [(9, v) for v in range(5000, 5040)], "pattern long, value long")
+    patterns, scores = pii._scored(edges, spark.createDataFrame([(v, 1.0) for v in blocks[0]], "value long, score double"))
+    assert {r["pattern"] for r in patterns.collect()} == set(range(5))
+    assert {r["value"] for r in scores.where("score > 0.6").collect()} == {v for b in blocks for v in b}
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 3, 50, 400])), rng.choice(["a", "a", "a", "b", "c", None]), 1.5) for i in range(600)]

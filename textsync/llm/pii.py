@@ -33,8 +33,8 @@ WORD = (
 AROUND = ((-2, -1), (-1, 1), (1, 2))
 #: Bits of the map of hashes that a pass over the texts looks for.
 MAP = 1 << 25
-#: Score of a seed that only looks opaque; least score of a pattern; distinct values it needs; weight of doubt; rounds.
-OPAQUE, CONFIDENT, SUPPORT, DOUBT, ROUNDS = 0.7, 0.6, 3, 0.5, 5
+#: Score of a seed that only looks opaque; least score of a pattern; distinct values it needs; weight of doubt; move of a confidence that counts.
+OPAQUE, CONFIDENT, SUPPORT, DOUBT, MOVED = 0.7, 0.6, 3, 0.5, 1e-4
 
 
 def _digits(found: Column) -> Column:
@@ -142,19 +142,20 @@ def seed(value: Column) -> Column:
 
 
 def _scored(edges: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confident patterns ``(pattern, confidence, values)`` and the scores over 0 after rounds on a graph of patterns and values."""
+    """Confident patterns ``(pattern, confidence, values)`` and the scores over 0 after rounds on a graph of patterns and values.
+
+    Rounds go on until no pattern is new and no confidence moves by more than ``MOVED``. Scores only rise, so they end."""
     n = edges.count()
     before = None
-    for _ in range(ROUNDS):
+    while True:
         held = fitted(edges.join(scores, "value", "left"), n).groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count(F.lit(1)) + DOUBT)).alias("confidence"), F.count(F.lit(1)).alias("values"))
         patterns = stage(fitted(held, n).where(f"confidence >= {CONFIDENT} AND values >= {SUPPORT}"))
-        state = patterns.agg(F.count(F.lit(1)), F.sum(F.round("confidence", 6))).first()
-        if state == before:
-            break
-        before = state
+        moved = patterns if before is None else patterns.join(before, "pattern", "left").where(f"_before IS NULL OR confidence - _before > {MOVED}")
+        if moved.isEmpty():
+            return patterns, scores
+        before = patterns.select("pattern", F.col("confidence").alias("_before"))
         lifted = fitted(edges.join(patterns, "pattern"), n).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
         scores = stage(fitted(scores.unionByName(fitted(lifted, n)).groupBy("value").agg(F.max("score").alias("score")), scores.count() + n))
-    return patterns, scores
 
 
 def bootstrap(docs: DataFrame, cues: DataFrame, seeds: DataFrame) -> DataFrame:
