@@ -105,6 +105,17 @@ def test_what_hubs_leave_open_loses_no_link(spark, monkeypatch, block):
     assert len(set(got.values())) > 2
 
 
+def test_neighbouring_bins_are_one_cluster(spark):
+    """One bucket: x is in the bin of hub and y, y in that of x and w, whose least documents differ; only x and y are linked."""
+    words = [f"w{i}" for i in range(100)]
+    place = nearcopies.super_minhash(nearcopies.shingle_sets(pa.array(words), 1), 1)[:, 0]
+    words = [words[i] for i in np.argsort(place)]  # the least is in all texts: they share the one place
+    texts = {1: words, 10: words[:61], 11: words[:59], 2: words[:30]}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(frame, words=1, bands=1, places=1).collect()}
+    assert got == {1: 1, 2: 2, 10: 10, 11: 10}
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, x) for x in range(5001, 5200)] + [(7, 7)]

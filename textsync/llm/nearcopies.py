@@ -218,9 +218,10 @@ def _open(buckets: DataFrame, tested: DataFrame, groups: DataFrame, percent: int
     spread = sums.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "low", "high", "least")
     open_ = spread.groupBy("key", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least")).where("low <> high")
     open_ = stage(fitted(open_.select("key", "bin", "least"), held_rows))
-    held = stage(fitted(rows.join(open_, ["key", "bin"]), held_rows).select("doc_id", "component", "least"))
-    # an open bin's documents meet its least document and those of the bins beside it
-    clusters = components(held.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    held = stage(fitted(rows.join(open_, ["key", "bin"]), held_rows).select("key", "bin", "doc_id", "component"))
+    # all that an open bin and those beside it hold meets the least document there, so any two of them are in one cluster
+    beside = held.select("key", "doc_id", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    clusters = components(fitted(beside.join(open_, ["key", "bin"]), 3 * held_rows).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     scope = fitted(held.select("doc_id", "component").distinct(), held_rows)
     return stage(fitted(_grouped(scope, clusters, "doc_id", "cluster"), held_rows))
 
