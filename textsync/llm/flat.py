@@ -86,10 +86,10 @@ class Spans:
             return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every word; words never cross documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every word; words never cross documents. ``space`` marks the bytes that part words."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~SPACE[data]
+    inside[:-1] = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data) + 1, bool)

@@ -132,4 +132,36 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
-ORACLE = {"op6_warc": WARC, "op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK}
+LEADS = ", ".join(["w", *(f"lead(w, {j}) OVER run" for j in range(1, 10))])
+CONTAMINATION = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), dt AS (
+  SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d
+), bt AS (
+  SELECT r, item_id, least(10, len(w)) AS k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM b
+), dg AS (
+  SELECT r, i, [{LEADS}] AS g FROM dt WINDOW run AS (PARTITION BY r ORDER BY i)
+), bg AS (
+  SELECT item_id, k, [{LEADS}] AS g FROM bt WINDOW run AS (PARTITION BY r ORDER BY i)
+), items AS (
+  SELECT DISTINCT item_id, k, array_to_string(g[1:k], ' ') AS s FROM bg WHERE g[k] IS NOT NULL
+), met AS (
+  SELECT r, i, k, item_id
+  FROM (SELECT r, i, k, array_to_string(g[1:k], ' ') AS s FROM dg, (SELECT DISTINCT k FROM items) WHERE g[k] IS NOT NULL) JOIN items USING (k, s)
+), hits AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM met) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLE = {"op6_warc": WARC, "op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK, "op12_contamination": CONTAMINATION}

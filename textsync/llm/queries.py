@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, quality, substrings, topk, toxicity, warc
+from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, positional, quality, substrings, topk, toxicity, warc
 from textsync.session import stage
 
 
@@ -89,6 +89,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=10)
+    return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_near_copies": op2_near_copies,
@@ -100,5 +105,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
+    "op12_contamination": op12_contamination,
 }
 ORACLE = oracle.ORACLE
