@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, labelled, language, mixing, nearcopies, oracle, pii, positional, quality, substrings, topk, toxicity, warc
+from textsync.llm import bpe, crosstok, labelled, language, mixing, nearcopies, oracle, pii, positional, quality, substrings, topk, toxicity, warc
 from textsync.session import stage
 
 
@@ -94,6 +94,11 @@ def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstok.align(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_near_copies": op2_near_copies,
@@ -106,5 +111,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
     "op12_contamination": op12_contamination,
+    "op13_token_links": op13_token_links,
 }
 ORACLE = oracle.ORACLE
