@@ -132,6 +132,57 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), messages AS (
+  SELECT row_number() OVER () AS m, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM runs
+), bits AS (
+  SELECT b, 0 AS step, b AS x FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE step < 8
+), tab AS (
+  SELECT b, x FROM bits WHERE step = 8
+), shifted AS (
+  SELECT 0 AS k, b, x FROM tab UNION ALL
+  SELECT k + 1, s.b, xor(s.x >> 8, tab.x) FROM shifted s JOIN tab ON tab.b = s.x & 255 WHERE k < (SELECT max(length(bytes)) / 2 FROM messages)
+), begun AS (
+  SELECT 0 AS k, 4294967295::BIGINT AS x UNION ALL
+  SELECT k + 1, xor(s.x >> 8, tab.x) FROM begun s JOIN tab ON tab.b = s.x & 255 WHERE k < (SELECT max(length(bytes)) / 2 FROM messages)
+), crcs AS (
+  SELECT m, bit_xor(s.x) AS x
+  FROM (SELECT m, length(bytes) // 2 - i AS k, CAST('0x' || bytes[2 * i - 1 : 2 * i] AS BIGINT) AS b
+        FROM (SELECT m, bytes, unnest(range(1, length(bytes) // 2 + 1)) AS i FROM messages)) e
+  JOIN shifted s ON s.k = e.k AND s.b = e.b
+  GROUP BY m
+), hashed AS (
+  SELECT run, n, xor(xor(c.x, b.x), 4294967295) AS h
+  FROM messages JOIN crcs c USING (m) JOIN begun b ON b.k = length(bytes) // 2
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.v
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.v
+), best AS (
+  SELECT a AS word, b AS near, wb.n AS near_n, count(*) OVER (PARTITION BY a) AS n_near
+  FROM near JOIN words wb ON wb.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY wb.n DESC, b) = 1
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
 LEADS = ", ".join(["w", *(f"lead(w, {j}) OVER run" for j in range(1, 10))])
 CONTAMINATION = rf"""
 WITH d AS (
@@ -164,4 +215,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE = {"op6_warc": WARC, "op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK, "op12_contamination": CONTAMINATION}
+ORACLE = {"op6_warc": WARC, "op2_near_copies": NEAR_COPIES, "op3_mixing": MIXING, "op5_quality": QUALITY, "op10_topk": TOPK, "op11_spelling": SPELLING, "op12_contamination": CONTAMINATION}

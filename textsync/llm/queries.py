@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsync.llm import bpe, crosstok, labelled, language, mixing, nearcopies, oracle, pii, positional, quality, substrings, topk, toxicity, warc
+from textsync.llm import bpe, crosstok, labelled, language, mixing, nearcopies, oracle, pii, positional, quality, substrings, topk, toxicity, variants, warc
 from textsync.session import stage
 
 
@@ -89,6 +89,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, damaged=199), ratio=5)
+
+
 def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=10)
     return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
+    "op11_spelling": op11_spelling,
     "op12_contamination": op12_contamination,
     "op13_token_links": op13_token_links,
 }
