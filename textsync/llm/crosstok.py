@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,6 +25,9 @@ from textsync.session import stage
 
 #: Bytes of text aligned at once, and in a shard: what shares one dictionary of irregular pairs.
 CHUNK, SHARD = 2 << 20, 12 << 20
+#: Runs of so much white space exhaust the pattern engine of the faster library; the slower one gives the same ids.
+SPACES = 50_000
+LONG_SPACE = re.compile(rf"\s{{{SPACES}}}")
 
 #: kind 0: a document, its links as codes with the times each occurs; 1: the irregular pairs of a shard and how many of its
 #: documents hold each; 2: for each id of A, how many documents of a task hold it linked with its identical id of B.
@@ -73,11 +77,9 @@ class Pair:
         return a, b
 
     def _ids(self, text: str) -> list[int]:
-        try:
-            return self.a.encode_ordinary(text)
-        except Exception:  # noqa: BLE001  a text on which the pattern's engine gives up, as a run of a million spaces
-            tokenizer = _reference(self.path)
-            return tokenizer.encode(text, add_special_tokens=False).ids
+        if len(text) > SPACES and LONG_SPACE.search(text):
+            return _reference(self.path).encode(text, add_special_tokens=False).ids
+        return self.a.encode_ordinary(text)
 
 
 @lru_cache(maxsize=1)
