@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsync.operators import align
+from textsync.operators.ordered import fold_slabs
 
 SEGMENTS = "book_id bigint, seg bigint, start_ms bigint, end_ms bigint, text string"
 SECTIONS = "book_id bigint, section_ord int, href string, text string"
@@ -93,3 +94,38 @@ def test_equals_one_pass(spark, monkeypatch, page):
     got = align.align_tokens(segs, sections, ahead=60, back=5, slab_segments=9).orderBy("seg").collect()
     want = plain(lines, said, 60, 5)
     assert [(r.start_tok, r.end_tok, r.score) if r.start_tok is not None else None for r in got] == want
+
+
+def test_skipped_text_settles_in_few_rounds(spark, monkeypatch):
+    """After a gap wider than the window nothing matches any more: the stuck position has to pass all later slabs."""
+    monkeypatch.setattr(align, "PAGE", 256)
+    lines = [" ".join(f"w{i}x{j}" for j in range(5)) for i in range(480)]
+    said = lines[:80] + lines[160:480]
+    sections = spark.createDataFrame([(1, 0, "h", "\n".join(lines)), (2, 0, "h", "\n".join(lines[:90]))], SECTIONS)
+    segs = spark.createDataFrame([(b, i, i * 10, i * 10 + 9, t) for b, part in ((1, said), (2, lines[:90])) for i, t in enumerate(part)], SEGMENTS)
+    rounds = []
+    got = align.align_tokens(segs, sections, ahead=200, back=5, slab_segments=4, rounds=rounds).orderBy("book_id", "seg").collect()
+    assert [(r.seg, r.start_tok, r.end_tok) for r in got if r.book_id == 1 and r.start_tok is not None] == [(i, 5 * i, 5 * i + 5) for i in range(80)]
+    assert [r.start_tok for r in got if r.book_id == 2] == [5 * i for i in range(90)]
+    assert len(rounds) <= 2 * (7 + 2) and rounds[-1] == 0  # 100 slabs; lists for the stuck position take a second look each
+
+
+def test_fold_equals_one_pass(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for book in range(5):
+        state = 3
+        for i in range(rng.choice([1, 40, 300])):
+            x = rng.choice([0, 0, 0, 0, 7, -1]) if book != 4 else 0  # 0 keeps the state, 7 sets it, -1 takes one off
+            rows.append((book, i // 5, i, x))
+            state = state if x == 0 else 7 if x == 7 else state - 1
+            want[book, i] = state
+    df = spark.createDataFrame(rows, "book bigint, slab bigint, i bigint, x bigint").repartition(3)
+    entries = df.select("book", "slab").distinct().withColumn("entry", F.lit(100).cast("bigint"))
+    step = lambda state, x: (state if x == 0 else 7 if x == 7 else state - 1, x == 7)
+    rounds = []
+    got = fold_slabs(df, entries, ["book"], "i", ["x"], step, "set boolean", first=3, rounds=rounds).collect()
+    assert {(r["book"], r["i"]): r["state"] for r in got} == want and len(got) == len(want)
+    assert all(r["set"] == (x == 7) for r, x in zip(sorted(got, key=lambda r: (r["book"], r["i"])), [x for *_, x in sorted((b, i, x) for b, _, i, x in rows)]))
+    quiet = fold_slabs(df.where("book = 4"), entries.where("book = 4"), ["book"], "i", ["x"], step, "set boolean", first=3, rounds=(few := [])).count()
+    assert quiet == sum(b == 4 for b, *_ in rows) and len(few) <= 8

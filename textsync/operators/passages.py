@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsync.operators.align import TOP, score_windows, segment_tokens, strides_of, token_pages
-from textsync.operators.tokens import block_key, book_ngrams, gram_array
+from textsync.operators.tokens import block_key, coded, coded_grams, coded_ngrams
 from textsync.functions.text import token_array
 from textsync.session import stage
 
@@ -14,10 +14,10 @@ from textsync.session import stage
 def _votes(book: DataFrame, items: DataFrame, n: int, ahead: int | None) -> DataFrame:
     """(item_id, book_id, start, votes) of shared n-grams. A document that repeats an n-gram meets each
     passage holding it, so the join is keyed by the n-gram alone and its skew is left to the runtime."""
-    grams = items.where(F.col("len") >= n).withColumn("grams", gram_array(F.col("toks"), n))
+    grams = items.where(F.col("len") >= n).withColumn("grams", coded_grams(F.col("toks"), n))
     grams = grams.select("item_id", F.explode("grams").alias("g")).select("item_id", F.col("g.gram").alias("gram"), F.col("g.pos").alias("off"))
     # only n-grams some passage holds take part
-    known = book_ngrams(book, n).join(grams.select("gram").distinct(), "gram", "left_semi")
+    known = coded_ngrams(book, (n,)).join(grams.select("gram").distinct(), "gram", "left_semi")
     hits = known.join(grams, "gram").select("item_id", "book_id", (F.col("tok") - F.col("off")).alias("start"))
     hits = hits.where("start >= 0" if ahead is None else f"start between 0 and {ahead}")
     return hits.groupBy("item_id", "book_id", "start").agg(F.count("*").cast("int").alias("votes")).withColumn("n", F.lit(n))
@@ -39,9 +39,9 @@ def locate_passages(passages: DataFrame, documents: DataFrame, ahead: int | None
             token_array(line), lambda t: F.struct(block_key(F.lit(0), i).alias("blk"), t.alias("norm"))
         ),
     )
-    packed = stage(documents.select(
+    packed = stage(coded(documents.select(
         F.col("doc_id").alias("book_id"), F.lit(0).alias("section_ord"), F.flatten(lines).alias("toks"), F.lit(0).cast("bigint").alias("offset")
-    ))
+    )))
     strides = strides_of(items)
     schema = "item_id bigint, doc_id bigint, start bigint, end bigint, score_milli int"
     if not strides:

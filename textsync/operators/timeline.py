@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,21 +103,14 @@ def phrases(words: DataFrame, max_words: int = PHRASE_WORDS, gap_ms: int = PHRAS
 
 
 def _snap(max_ms: int):
-    """Walk the chapter marks of one slab: which of them end a chunk, given the open chunk's start."""
+    """Whether a chapter mark ends a chunk, given the open chunk's start; the next chunk then starts there."""
     reach = min(CHAPTER_REACH, max_ms // 2)
 
-    def snap(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mark")
-        start, states, taken = int(pdf["entry"].iloc[0]), [], []
-        for mark, later, duration in zip(pdf["mark"], pdf["later"], pdf["duration_ms"]):
-            at = start + max(0, -((start - mark) // max_ms) - 1) * max_ms
-            target = at + max_ms
-            hit = duration - at > max_ms and max(target - reach, at + 1) <= mark <= target
-            hit = bool(hit and not later <= target)
-            start = mark if hit else start
-            taken.append(hit)
-            states.append(start)
-        return pdf[["book_id", "slab", "mark", "duration_ms"]].assign(state=states, taken=taken)
+    def snap(start: int, mark: int, later: int, duration: int) -> tuple[int, bool]:
+        at = start + max(0, -((start - mark) // max_ms) - 1) * max_ms
+        target = at + max_ms
+        hit = duration - at > max_ms and max(target - reach, at + 1) <= mark <= target < later
+        return (mark if hit else start), hit
 
     return snap
 
@@ -140,9 +132,8 @@ def plan_chunks(books: DataFrame, chapters: DataFrame, max_ms: int = MAX_CHUNK)
     entries = entries.join(first, "book_id").select(
         "book_id", "slab", F.when(F.col("slab") == F.col("first_slab"), F.lit(0)).otherwise(F.col("entry")).alias("entry")
     )
-    schema = "book_id bigint, slab bigint, mark bigint, duration_ms bigint, state bigint, taken boolean"
-    walked = fold_slabs(marks, entries, ["book_id"], "mark", _snap(max_ms), schema)
-    anchors = walked.where("taken").select("book_id", "duration_ms", F.col("mark").alias("at"))
+    walked = fold_slabs(marks, entries, ["book_id"], "mark", ["mark", "later", "duration_ms"], _snap(max_ms), "taken boolean")
+    anchors = walked.where("taken").select("book_id", F.col("mark").alias("at")).join(books, "book_id")
     anchors = anchors.unionByName(books.withColumn("at", F.lit(0).cast("bigint")))
     wide = max_ms * 4096
     stretch = scan(anchors, ["book_id"], ["at"], [idiv(F.col("at"), wide)], until=next_after(F.col("at")))
@@ -197,17 +188,11 @@ def silence_cuts(chunks: DataFrame, chapters: DataFrame, silences: DataFrame,
 
 
 def _accept(limit: int):
-    """Take the moved cuts of one slab that keep the order and the length limit on both sides."""
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_idx")
-        previous, states = int(pdf["entry"].iloc[0]), []
-        for end, moved, later in zip(pdf["end_ms"], pdf["moved"], pdf["later"]):
-            if not pd.isna(moved) and previous < moved < later and moved - previous <= limit and later - moved <= limit:
-                end = moved
-            previous = int(end)
-            states.append(previous)
-        return pdf[["book_id", "slab", "chunk_idx"]].assign(state=states)
+    """The end of a cut: where it was moved to if that keeps the order and the length limit on both sides."""
+
+    def accept(previous: int, end: int, moved: int | None, later: int) -> tuple[int]:
+        fits = moved is not None and previous < moved < later and moved - previous <= limit and later - moved <= limit
+        return (moved if fits else end,)
 
     return accept
 
@@ -218,10 +203,9 @@ def refine_chunks(chunks: DataFrame, chapters: DataFrame, silences: DataFrame, r
     cuts = silence_cuts(chunks, chapters, silences, reach, least).withColumn("slab", idiv(F.col("chunk_idx"), 4096))
     cuts = scan(cuts, ["book_id"], ["chunk_idx"], [F.col("slab")], later=next_after(F.col("end_ms")))
     entries = cuts.groupBy("book_id", "slab").agg(F.min("start_ms").alias("entry"))
-    schema = "book_id bigint, slab bigint, chunk_idx bigint, state bigint"
     moved = fold_slabs(
         cuts.select("book_id", "slab", "chunk_idx", "end_ms", "moved", F.coalesce("later", "end_ms").alias("later")),
-        entries, ["book_id"], "chunk_idx", _accept(limit), schema,
+        entries, ["book_id"], "chunk_idx", ["end_ms", "moved", "later"], _accept(limit), "",
     )
     timed = scan(
         moved.select("book_id", "chunk_idx", F.col("state").alias("end_ms")),

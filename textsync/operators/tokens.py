@@ -137,12 +137,35 @@ def gram_array(toks: Column, n: int, norm=lambda x: x, same_block: bool = False)
     return F.filter(grams, lambda g: g.whole) if same_block else grams
 
 
-def book_ngrams(packed: DataFrame, n: int) -> DataFrame:
-    """n-grams of a book from its section arrays: (book_id, gram, tok). No shuffle."""
-    grams = gram_array(F.col("toks"), n, norm=lambda t: t.norm, same_block=True)
-    return packed.select("book_id", "offset", F.explode(grams).alias("g")).select(
-        "book_id", F.col("g.gram").alias("gram"), (F.col("offset") + F.col("g.pos")).cast("bigint").alias("tok")
-    )
+def coded(packed: DataFrame) -> DataFrame:
+    """Section arrays with each token as a 64-bit hash: what joins and distances compare is whether tokens are equal."""
+    return packed.withColumn("toks", F.transform("toks", lambda t: F.struct(t.blk.alias("blk"), F.xxhash64(t.norm).alias("code"))))
+
+
+def gram_code(*codes: Column | str) -> Column:
+    """One 64-bit number for consecutive token codes."""
+    return F.xxhash64(*codes)
+
+
+def coded_ngrams(packed: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(book_id, n, gram, tok) of :func:`coded` sections, ``gram`` a code; sizes above one stay inside a block. No shuffle.
+
+    A token meets those after it through shifted arrays, so that grams are built by compiled expressions, not by lambdas."""
+    part = lambda field, k: F.slice(F.col("toks")[field], k + 1, F.greatest(F.size("toks"), F.lit(1))).alias(f"{field}{k}")
+    beside = F.arrays_zip(*[part(field, k) for k in range(max(sizes)) for field in ("blk", "code")])
+    each = packed.where(F.size("toks") > 0).select("book_id", "offset", F.posexplode(beside).alias("pos", "t"))
+    whole = lambda n: F.col(f"t.blk{n - 1}") == F.col("t.blk0")
+    grams = [F.when(whole(n), F.struct(F.lit(n).alias("n"), gram_code(*[f"t.code{k}" for k in range(n)]).alias("gram"))) for n in sizes]
+    found = each.select("book_id", (F.col("offset") + F.col("pos")).cast("bigint").alias("tok"), F.explode(F.array(*grams)).alias("g"))
+    return found.where("g IS NOT NULL").select("book_id", "g.n", "g.gram", "tok")
+
+
+def coded_grams(codes: Column, n: int) -> Column:
+    """``ARRAY<STRUCT<gram, pos>>`` of the n-grams of an array of token codes, as :func:`coded_ngrams` numbers them."""
+    last = F.size(codes) - n
+    at = lambda i, k: F.element_at(codes, i + k + 1)
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(gram_code(*[at(i, k) for k in range(n)]).alias("gram"), i.alias("pos")))
 
 
 def ngrams(sections: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

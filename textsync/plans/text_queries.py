@@ -25,7 +25,8 @@ def token_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    grams = tokens.ngrams(fx.sections(spark, d)).groupBy("book_id", "n", "gram").agg(F.count("*").alias("k"))
+    packed = tokens.coded(tokens.section_tokens(fx.sections(spark, d)))
+    grams = tokens.coded_ngrams(packed, (1, 2, 3)).groupBy("book_id", "n", "gram").agg(F.count("*").alias("k"))
     return grams.groupBy("book_id", "n").agg(
         F.sum("k").cast("bigint").alias("grams"), F.count("*").alias("kinds"), F.max("k").alias("most")
     ).withColumn("n", F.col("n").cast("bigint"))
@@ -132,7 +133,7 @@ def media_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_votes(spark: SparkSession, d: str) -> DataFrame:
-    packed = align.stage(tokens.section_tokens(fx.sections(spark, d)))
+    packed = align.stage(tokens.coded(tokens.section_tokens(fx.sections(spark, d))))
     segs = align.stage(align.segment_tokens(fx.segments(spark, d), ["book_id", "seg"]))
     votes = align.candidate_votes(packed, segs, 3)
     return votes.groupBy("book_id", "seg").agg(
@@ -142,7 +143,7 @@ def candidate_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_scores(spark: SparkSession, d: str) -> DataFrame:
-    packed = align.stage(tokens.section_tokens(fx.sections(spark, d)))
+    packed = align.stage(tokens.coded(tokens.section_tokens(fx.sections(spark, d))))
     segs = align.stage(align.segment_tokens(fx.segments(spark, d), ["book_id", "seg"]))
     votes = align.candidate_votes(packed, segs, 3)
     scored = align.score_windows(votes, segs, align.token_pages(packed, align.strides_of(segs)))
