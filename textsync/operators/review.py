@@ -15,6 +15,9 @@ EDGE_REASON = {
     "credits": "Unmatched narration occurs after the last matched book segment.",
 }
 BULK_REASON = "User chose Continue without unmatched audio."
+LEGACY_REASON = "Legacy whole-report unmatched-audio exclusion."
+# Fixed value: the layout of saved drafts.
+DRAFT_VERSION = 1
 
 DECISION = (
     "struct<state:string,href:string,line_index:int,image_href:string,supplemental:string,"
@@ -72,19 +75,79 @@ def edge_destination(source: str) -> Column:
     )
 
 
+def read_drafts(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved decisions ``(book_id, id, decision)``, one an item, and the drafts that do not count, with a reason.
+
+    Drafts may carry ``version`` (other than ``DRAFT_VERSION``: ``draft_version``) and ``revision``, the order in which they
+    were saved: the last one counts and earlier ones are ``draft_older``. Invalid decisions are rejected by their rule before
+    that. Equal drafts of one revision are one; unequal ones contradict each other and are ``draft_repeated``."""
+    key = ["book_id", "id"]
+    have = lambda c, kind, default: (F.col(c) if c in drafts.columns else F.lit(default)).cast(kind).alias(c)
+    rows = drafts.select(*key, "decision", have("version", "int", DRAFT_VERSION), have("revision", "bigint", 0))
+    broken = audit_decisions(rows.select(*key, "decision").distinct().withColumns({"of": F.col("id"), "id": F.to_json(F.struct("id", "decision"))}))
+    broken = broken.groupBy("book_id", F.col("entity").alias("_said")).agg(F.min("rule").alias("rule"))
+    rows = rows.withColumn("_said", F.to_json(F.struct("id", "decision"))).join(broken, ["book_id", "_said"], "left")
+    version = F.coalesce(F.col("version") != DRAFT_VERSION, F.lit(True))
+    rows = rows.withColumn("reason", F.when(version, "draft_version").otherwise(F.col("rule")))
+    last = rows.where("reason IS NULL").groupBy(key).agg(F.max("revision").alias("last"))
+    at_last = rows.where("reason IS NULL").join(last, key).where("revision <=> last").groupBy(key).agg(F.min("_said").alias("low"), F.max("_said").alias("high"))
+    judged = rows.join(last, key, "left").join(at_last, key, "left")
+    why = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("revision").eqNullSafe(F.col("last")), "draft_older").when(F.col("low") != F.col("high"), "draft_repeated")
+    judged = judged.withColumn("reason", why)
+    return judged.where("reason IS NULL").groupBy(key).agg(F.first("decision").alias("decision")), judged.where("reason IS NOT NULL").select(*key, "decision", "reason")
+
+
 def decide(report: DataFrame, drafts: DataFrame, policy: str = "smart") -> DataFrame:
     """Precedence of decisions: a saved manual one, then the automatic edge page (smart policy only),
-    else pending. Saved automatic decisions are dropped; so are several manual ones of one id, which contradict
-    each other (``apply_decisions`` reports them)."""
-    manual = drafts.where("decision.state <> 'pending' and decision.source = 'manual'").groupBy("book_id", "id").agg(
-        F.max("decision").alias("saved"), F.count("*").alias("drafts")
-    ).where("drafts = 1").drop("drafts")
+    else pending. Saved automatic decisions are dropped; drafts that do not count are those :func:`read_drafts` lists."""
+    good, _ = read_drafts(drafts.where("decision.state <> 'pending' and decision.source = 'manual'"))
+    manual = good.select("book_id", "id", F.col("decision").alias("saved"))
     automatic = edge_destination("automatic") if policy == "smart" else F.lit(None).cast(DECISION)
     return report.join(manual, ["book_id", "id"], "left").select(
         *report.columns, F.coalesce("saved", automatic, decision("pending")).alias("decision")
     )
 
 
+def read_report(items: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Items of a stored report as they count today: blank ids are filled in, and in books whose old report was accepted as a
+    whole, ``accepted(book_id, accepted_exclusion)``, pending items are excluded with ``LEGACY_REASON``."""
+    blank = F.coalesce(trim_space(F.col("id")), F.lit("")) == ""
+    made = review_id(F.col("seg"), F.col("start_ms"), F.col("end_ms"), F.col("text"))
+    flags = accepted.groupBy("book_id").agg(F.bool_or("accepted_exclusion").alias("_accepted"))
+    legacy = F.col("_accepted") & (F.col("decision.state") == "pending")
+    return items.join(flags, "book_id", "left").withColumns({
+        "id": F.when(blank, made).otherwise(F.col("id")),
+        "decision": F.when(legacy, decision("excluded", reason=LEGACY_REASON, source="manual")).otherwise(F.col("decision")),
+    }).drop("_accepted")
+
+
+def audit_totals(alignment: DataFrame, items: DataFrame, stated: DataFrame) -> DataFrame:
+    """What must hold before decisions are applied: ``stated(book_id, total_segments, matched_segments)`` of a report agrees with the
+    alignment, every unmatched segment has exactly one item, items name unmatched segments and still quote them."""
+    now = alignment.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(matched(), 1)).alias("matched"))
+    listed = items.groupBy("book_id").agg(F.count(F.lit(1)).alias("listed"))
+    books = stated.join(now, "book_id", "left").join(listed, "book_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    by_book = violations(
+        books, F.lit("book"),
+        matched_exceeds_total=F.col("matched_segments") > F.col("total_segments"),
+        total_differs=F.col("total_segments") != count("total"),
+        matched_differs=F.col("matched_segments") != count("matched"),
+        unmatched_differs=count("listed") != count("total") - count("matched"),
+    )
+    own = alignment.select("book_id", "seg", "status", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_until"), F.col("text").alias("_text"))
+    rows = items.select("book_id", "seg", "start_ms", "end_ms", "text").join(own, ["book_id", "seg"], "left")
+    changed = ~(F.col("start_ms").eqNullSafe(F.col("_from")) & F.col("end_ms").eqNullSafe(F.col("_until")) & F.col("text").eqNullSafe(F.col("_text")))
+    by_item = violations(
+        rows, F.col("seg"),
+        segment_missing=F.col("status").isNull(),
+        segment_matched=F.coalesce(matched(), F.lit(False)),
+        segment_changed=F.col("status").isNotNull() & ~matched() & changed,
+    )
+    repeated = items.groupBy("book_id", "seg").count().where("count > 1")
+    return by_book.unionByName(by_item).unionByName(violations(repeated, F.col("seg"), segment_repeated=F.lit(True)))
+
+
 def audit_decisions(items: DataFrame) -> DataFrame:
     d = lambda f: F.col(f"decision.{f}")
     assigned = d("state") == "assigned"

@@ -10,6 +10,30 @@ ORACLE = {
         UNION ALL SELECT o_custkey, 'no-' || o_orderkey, 'reason ' || n, 'unknown_id' FROM orders, (VALUES (1), (2)) t(n) WHERE o_orderkey % 11 = 0 AND (n = 1 OR o_orderkey % 5 = 0)""",
     "drafts_repeated": """SELECT o_custkey AS book_id, o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN 'excluded' ELSE 'pending' END AS state,
         CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN 'draft 1' END AS reason FROM orders""",
+    "drafts_read": """WITH o AS (SELECT o_custkey AS b, o_orderkey AS k, o_orderkey::VARCHAR AS id FROM orders)
+        SELECT b AS book_id, id, CASE WHEN x THEN 'excluded' ELSE 'pending' END AS state,
+          CASE WHEN x THEN CASE WHEN k % 27 = 18 THEN 'draft 2' ELSE 'draft 1' END END AS said, NULL::VARCHAR AS rejected
+        FROM (SELECT *, k % 3 = 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 27 <> 9 AS x FROM o)
+        UNION ALL SELECT b, id, 'draft', CASE WHEN k % 13 = 0 THEN ' ' WHEN k % 27 = 0 THEN 'draft 1' ELSE 'draft ' || n END,
+          CASE WHEN k % 11 = 0 THEN 'draft_version' WHEN k % 13 = 0 THEN 'reason_missing' WHEN k % 27 = 9 THEN 'draft_repeated' ELSE 'draft_older' END
+        FROM o, (VALUES (1), (2)) t(n)
+        WHERE k % 3 = 0 AND (n = 1 OR k % 9 = 0) AND (k % 11 = 0 OR k % 13 = 0 OR k % 27 = 9 OR (k % 27 = 18 AND n = 1))""",
+    "reports_read": """SELECT o_custkey AS book_id, CASE WHEN o_orderkey % 5 > 1 THEN o_orderkey::VARCHAR ELSE 'review-' || sha256(unhex('04000000000000000A000000000000001400000000000000') || encode('spoken words')) END AS id,
+          CASE WHEN o_orderkey % 3 = 0 OR o_custkey % 4 = 1 THEN 'excluded' ELSE 'pending' END AS state,
+          CASE WHEN o_orderkey % 3 = 0 THEN 'own' WHEN o_custkey % 4 = 1 THEN 'Legacy whole-report unmatched-audio exclusion.' END AS reason
+        FROM orders""",
+    "totals_audited": """WITH o AS (SELECT o_custkey AS b, o_orderkey AS k FROM orders),
+        i AS (SELECT b, k, n FROM o, (VALUES (1), (2)) t(n) WHERE (k % 2 = 0 OR k % 15 = 1) AND k % 14 <> 2 AND (n = 1 OR k % 22 = 4)),
+        c AS (SELECT b, count(*) AS total, count(*) FILTER (k % 2 = 1) AS hit FROM o GROUP BY b),
+        s AS (SELECT c.*, coalesce(listed, 0) AS listed FROM c LEFT JOIN (SELECT b, count(*) AS listed FROM i GROUP BY b) USING (b))
+        SELECT b AS book_id, 'matched_exceeds_total' AS rule, 'book' AS entity FROM s WHERE hit + CASE WHEN b % 7 = 0 THEN 1000 ELSE 0 END > total + CASE WHEN b % 5 = 0 THEN 1 ELSE 0 END
+        UNION ALL SELECT b, 'total_differs', 'book' FROM s WHERE b % 5 = 0
+        UNION ALL SELECT b, 'matched_differs', 'book' FROM s WHERE b % 7 = 0
+        UNION ALL SELECT b, 'unmatched_differs', 'book' FROM s WHERE listed <> total - hit
+        UNION ALL SELECT b, 'segment_missing', (-k)::VARCHAR FROM i WHERE k % 26 = 6
+        UNION ALL SELECT b, 'segment_matched', k::VARCHAR FROM i WHERE k % 2 = 1
+        UNION ALL SELECT b, 'segment_changed', k::VARCHAR FROM i WHERE k % 34 = 8 AND k % 26 <> 6
+        UNION ALL SELECT DISTINCT b, 'segment_repeated', CASE WHEN k % 26 = 6 THEN -k ELSE k END::VARCHAR FROM i WHERE k % 22 = 4""",
     "recompute_unknown": """WITH s(stage, o) AS (VALUES ('prepare', 0), ('analyze', 1), ('align', 2), ('review_audio', 3), ('encode', 4), ('build_epub', 5), ('validate', 6))
         SELECT doc_id AS book_id, stage, o < least(CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 7 END, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 7 END, CASE WHEN doc_id % 7 = 3 THEN 4 ELSE 7 END) AS reuse
         FROM documents, s""",

@@ -54,6 +54,55 @@ def drafts_repeated(spark: SparkSession, d: str) -> DataFrame:
     return review.decide(report, drafts, "review_all").select("book_id", "id", F.col("decision.state").alias("state"), F.col("decision.reason").alias("reason"))
 
 
+def drafts_read(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts of every third order: equal ones, contradicting ones, saved one after the other, of another layout, without a reason."""
+    key = F.col("o_orderkey")
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), key, key.cast("string").alias("id"))
+    report = orders.select("book_id", "id", F.lit(None).cast("string").alias("edge"), F.lit(None).cast("string").alias("edge_href"))
+    n = F.explode(F.when(key % 9 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    said = F.when(key % 13 == 0, " ").when(key % 27 == 0, "draft 1").otherwise(F.concat(F.lit("draft "), F.col("n")))
+    drafts = orders.where(key % 3 == 0).withColumn("n", n).select(
+        "book_id", "id", F.when(key % 27 == 18, F.col("n")).otherwise(7).alias("revision"), F.when(key % 11 == 0, 2).otherwise(1).alias("version"),
+        review.decision("excluded", reason=said, source="manual").alias("decision"),
+    )
+    decided = review.decide(report, drafts, "review_all")
+    _, rejected = review.read_drafts(drafts)
+    return decided.select("book_id", "id", F.col("decision.state").alias("state"), F.col("decision.reason").alias("said"), F.lit(None).cast("string").alias("rejected")).unionByName(
+        rejected.select("book_id", "id", F.lit("draft").alias("state"), F.col("decision.reason").alias("said"), F.col("reason").alias("rejected"))
+    )
+
+
+def reports_read(spark: SparkSession, d: str) -> DataFrame:
+    """Stored items of each order: blank ids, and customers whose old report was accepted as a whole."""
+    key = F.col("o_orderkey")
+    state = F.when(key % 3 == 0, review.decision("excluded", reason="own", source="manual")).otherwise(review.decision("pending"))
+    items = fx.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("book_id"), F.lit(4).cast("bigint").alias("seg"), F.lit(10).cast("bigint").alias("start_ms"), F.lit(20).cast("bigint").alias("end_ms"),
+        F.lit("spoken words").alias("text"), F.when(key % 5 == 0, "\t ").when(key % 5 != 1, key.cast("string")).alias("id"), state.alias("decision"),
+    )
+    books = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), (F.col("c_custkey") % 4 == 1).alias("accepted_exclusion"))
+    return review.read_report(items, books).select("book_id", "id", F.col("decision.state").alias("state"), F.col("decision.reason").alias("reason"))
+
+
+def totals_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as an alignment whose report states wrong totals, repeats, misses or misquotes items."""
+    key = F.col("o_orderkey")
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), key.alias("seg"))
+    unmatched = F.col("seg") % 2 == 0
+    alignment = orders.select(
+        "book_id", "seg", F.when(unmatched, "unmatched").otherwise("matched").alias("status"), F.col("seg").alias("start_ms"), (F.col("seg") + 1).alias("end_ms"),
+        F.concat(F.lit("said "), F.col("seg")).alias("text"),
+    )
+    base = alignment.where("seg % 2 = 0 OR seg % 15 = 1").where("seg % 14 <> 2")
+    twice = base.withColumn("n", F.explode(F.when(F.col("seg") % 22 == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    items = twice.select(
+        "book_id", F.when(F.col("seg") % 26 == 6, -F.col("seg")).otherwise(F.col("seg")).alias("seg"), F.col("start_ms"), (F.col("end_ms") + F.when(F.col("seg") % 34 == 8, 1).otherwise(0)).alias("end_ms"), "text",
+    )
+    total, hit = F.count(F.lit(1)), F.count(F.when(F.col("seg") % 2 == 1, 1))
+    stated = orders.groupBy("book_id").agg((total + F.when(F.col("book_id") % 5 == 0, 1).otherwise(0)).alias("total_segments"), (hit + F.when(F.col("book_id") % 7 == 0, 1000).otherwise(0)).alias("matched_segments"))
+    return review.audit_totals(alignment, items, stated)
+
+
 def recompute_unknown(spark: SparkSession, d: str) -> DataFrame:
     """Books with an unknown recogniser, and ledgers that lack the rows of some stages."""
     inputs = fx.stage_inputs(spark, d).withColumn("ocr_backend", F.when(F.col("book_id") % 3 != 0, F.col("ocr_backend")))
@@ -119,7 +168,7 @@ def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        markup_references, silence_bounds, decisions_repeated, drafts_repeated, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        markup_references, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
         resources_anchored,
     )
 }
