@@ -130,6 +130,46 @@ def test_publication(spark, tmp_path):
         sinks.publish_table(df, str(tmp_path / "other"), intents, [broken])
 
 
+def test_publication_with_two_writers(spark, tmp_path):
+    out, intents = str(tmp_path / "out"), str(tmp_path / "intents")
+    df = spark.range(20)
+    held = sinks._lease(spark, out, intents, "first", 3600)
+    (tmp_path / "out.staging-first").mkdir()
+    with pytest.raises(sinks.PublicationError, match="under way"):
+        sinks.publish_table(df, out, intents)
+    assert (tmp_path / "out.staging-first").exists() and not (tmp_path / "out").exists()  # the second touched nothing
+    assert sinks.publish_table(df, out, intents, lease_seconds=-1).first().rows == 20  # the first has died: taken over and cleaned
+    assert not (tmp_path / "out.staging-first").exists() and not any(p.name.endswith(".lease") for p in (tmp_path / "intents").iterdir())
+    seen = []
+    inner = sinks.content_digest
+
+    def interleaved(table):  # a second attempt in the middle of the first
+        if not seen:
+            seen.append(1)
+            with pytest.raises(sinks.PublicationError, match="under way"):
+                sinks.publish_table(df, str(tmp_path / "two"), intents)
+        return inner(table)
+
+    sinks.content_digest = interleaved
+    try:
+        assert sinks.publish_table(df, str(tmp_path / "two"), intents).first().rows == 20
+    finally:
+        sinks.content_digest = inner
+    assert spark.read.parquet(str(tmp_path / "two")).count() == 20 and held.endswith(".lease")
+
+
+def test_many_requests_of_one_name(spark):
+    asked = spark.range(20000).select(F.lit(1).alias("book_id"), F.lit("x").alias("base"), F.col("id").alias("ord"))
+    used = spark.range(1, 5000).select(F.lit(1).alias("book_id"), F.concat(F.lit("x-"), F.col("id") * 3).alias("name"))
+    got = [r["name"] for r in overlay.unique_names(asked, used, ["book_id"]).orderBy("ord").collect()]
+    taken, want, k = {3 * i for i in range(1, 5000)}, [], 1
+    while len(want) < 20000:
+        if k not in taken:
+            want.append("x" if k == 1 else f"x-{k}")
+        k += 1
+    assert got == want
+
+
 def test_stream_order(spark, tmp_path):
     schema = "book_id bigint, chunk_idx bigint, ok boolean, segments array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
     plans = spark.createDataFrame([(b, i, i * 25000, i * 25000 + 25000) for b in (1, 2, 3) for i in range(3)], "book_id bigint, chunk_idx bigint, start_ms bigint, end_ms bigint")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textsync.functions.markup import ATTRS, LINE_TAGS, PREFIX, tag_attr, unescape, visible_markup
 from textsync.functions.paths import encode_fragment
 from textsync.functions.text import SPACE, escape_xml, format_clock, idiv, trim_space
-from textsync.operators.ordered import scan, slabs_of, total_before
+from textsync.operators.ordered import scan, slabs_of, total_before, total_through
 from textsync.operators.review import matched
 from textsync.operators.timeline import violations
 
@@ -139,9 +139,17 @@ def resource_anchors(refs: DataFrame, wanted: DataFrame, used: DataFrame) -> Dat
     )
 
 
-def _nth_free(nth: Column, taken: Column) -> Column:
-    """The nth number from 1 that is not in the ordered array ``taken``."""
-    return F.aggregate(taken, nth.cast("bigint"), lambda x, t: F.when(t <= x, x + 1).otherwise(x))
+def _free_numbers(asked: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
+    """``asked`` with ``k``, for its ``nth`` (from 0) the number of that place among the numbers from 1 that ``taken(by…, k)`` leaves free.
+
+    The i-th taken number k stands after k - i free ones, so the m-th free number is m plus the taken ones with fewer
+    than m free numbers before them. Requests and taken numbers are put in one order and counted through it."""
+    runs = scan(taken.distinct(), by, ["k"], slabs_of(F.col("k")), i=total_through(F.lit(1).cast("bigint")))
+    held = runs.select(*by, ((F.col("k") - F.col("i")) * 2 + 1).alias("place"), F.lit(1).cast("bigint").alias("used"), F.lit(None).cast("bigint").alias("nth"))
+    wanted = asked.select(*by, ((F.col("nth") + 1) * 2).alias("place"), F.lit(0).cast("bigint").alias("used"), F.col("nth").cast("bigint").alias("nth"))
+    met = scan(held.unionByName(wanted), by, ["place"], slabs_of(F.col("place")), before=total_before(F.col("used")))
+    found = met.where("used = 0").select(*by, "nth", (F.col("nth") + 1 + F.col("before")).alias("k"))
+    return asked.join(found, [*by, "nth"])
 
 
 def _names_in_turn(scope: list[str]):
@@ -175,9 +183,7 @@ def unique_names(asked: DataFrame, used: DataFrame, scope: list[str]) -> DataFra
     whole = used.select(*scope, F.col("name").alias("base"), F.lit(1).cast("bigint").alias("k"))
     tailed = used.where(suffix != "").select(*scope, stem.alias("base"), suffix.try_cast("bigint").alias("k"))
     taken = whole.unionByName(tailed).join(lone.select(*scope, "base").distinct(), [*scope, "base"], "left_semi")
-    taken = taken.groupBy(*scope, "base").agg(F.array_sort(F.collect_set("k")).alias("taken"))
-    number = _nth_free(F.col("nth") + 1, F.coalesce("taken", F.array().cast("array<bigint>")))
-    plain = numbered.join(taken, [*scope, "base"], "left").withColumn("k", number).select(
+    plain = _free_numbers(numbered, taken, [*scope, "base"]).select(
         *scope, "base", "ord",
         F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k"))).alias("name"),
     )

@@ -34,6 +34,9 @@ ORACLE = {
         UNION ALL SELECT b, 'segment_matched', k::VARCHAR FROM i WHERE k % 2 = 1
         UNION ALL SELECT b, 'segment_changed', k::VARCHAR FROM i WHERE k % 34 = 8 AND k % 26 <> 6
         UNION ALL SELECT DISTINCT b, 'segment_repeated', CASE WHEN k % 26 = 6 THEN -k ELSE k END::VARCHAR FROM i WHERE k % 22 = 4""",
+    "ocr_source": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS h FROM orders)
+        SELECT k AS book_id, 'page' || k || ' two words|line' || k AS said, 80::BIGINT AS row FROM o
+        UNION ALL SELECT k, r, (h + i)::BIGINT FROM o, (VALUES ('confidence', 3), ('confidence', 4), ('columns', 5), ('text_blank', 7)) t(r, i)""",
     "recompute_unknown": """WITH s(stage, o) AS (VALUES ('prepare', 0), ('analyze', 1), ('align', 2), ('review_audio', 3), ('encode', 4), ('build_epub', 5), ('validate', 6))
         SELECT doc_id AS book_id, stage, o < least(CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 7 END, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 7 END, CASE WHEN doc_id % 7 = 3 THEN 4 ELSE 7 END) AS reuse
         FROM documents, s""",

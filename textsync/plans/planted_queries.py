@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsync.functions import markup
-from textsync.operators import ledger, overlay, review
+from textsync.operators import ledger, overlay, resources, review
 from textsync.plans import fixtures as fx
-from textsync.sources import logs
+from textsync.sources import logs, recognised
 
 
 def markup_references(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +103,21 @@ def totals_audited(spark: SparkSession, d: str) -> DataFrame:
     return review.audit_totals(alignment, items, stated)
 
 
+def ocr_source(spark: SparkSession, d: str) -> DataFrame:
+    """A recogniser's table for each order with every fault, read into evidence; rejected lines with their reason."""
+    key = F.col("o_orderkey")
+    word = lambda line, conf, text: F.concat(F.lit(f"5\t1\t1\t1\t{line}\t1\t0\t0\t9\t9\t"), conf if not isinstance(conf, str) else F.lit(conf), F.lit("\t"), text if not isinstance(text, str) else F.lit(text))
+    parts = [
+        F.when(key % 2 == 0, "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"),
+        word(1, "90.5", F.concat(F.lit("page"), key)), word(1, " 80.5 ", "two\twords"), F.lit("  "),
+        word(2, "-1", "box"), word(2, F.when(key % 3 == 0, "NaN").otherwise("5f"), "odd"), F.lit("5\t1\t1\t1"), word(3, "70", F.concat(F.lit("line"), key, F.lit("\r"))), word(3, "10", " \t "),
+    ]
+    tables = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("book_id"), F.concat_ws("\n", *parts).alias("tsv"))
+    words, rejected = recognised.read_words(tables, ["book_id"])
+    found = resources.ocr_evidence(words, ["book_id"]).select("book_id", F.array_join("lines", "|").alias("said"), F.col("confidence_percent").cast("bigint").alias("row"))
+    return found.unionByName(rejected.select("book_id", F.col("reason").alias("said"), F.col("row").cast("bigint").alias("row")))
+
+
 def recompute_unknown(spark: SparkSession, d: str) -> DataFrame:
     """Books with an unknown recogniser, and ledgers that lack the rows of some stages."""
     inputs = fx.stage_inputs(spark, d).withColumn("ocr_backend", F.when(F.col("book_id") % 3 != 0, F.col("ocr_backend")))
@@ -168,7 +183,7 @@ def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        markup_references, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        markup_references, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
         resources_anchored,
     )
 }
