@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textsync.functions.markup import ATTRS, PREFIX, markup_to_text, tag_attr
 from textsync.functions.paths import parent_path, resolve_href
-from textsync.functions.text import trim_space
+from textsync.functions.text import parse_clock, trim_space
 from textsync.operators.overlay import reading_order
 from textsync.operators.timeline import violations
 
@@ -46,6 +47,11 @@ def scan_archives(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> D
     """Entries of every zip archive under ``path``, one task per file. Archives over ``max_bytes`` are
     skipped by their length, before their content is read; list them with ``audit_archive_sizes``."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
+    return entries_of(files)
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """Entries of the archives in ``files(path, content)``; an archive that cannot be read is one row with its error."""
     return files.select("path", "content").mapInPandas(_read_entries, ENTRIES)
 
 
@@ -65,7 +71,7 @@ def _body(xml: Column, name: str) -> Column:
 def package_paths(entries: DataFrame) -> DataFrame:
     """(book_id, package_path) named by the container document of each archive."""
     container = entries.where((F.col("path") == "META-INF/container.xml") & (F.col("size") <= CONTAINER_BYTES))
-    root = F.element_at(F.filter(_tags(F.col("bytes").cast("string"), "rootfile"), lambda t: tag_attr(t, "full-path").isNotNull()), 1)
+    root = F.get(F.filter(_tags(F.col("bytes").cast("string"), "rootfile"), lambda t: tag_attr(t, "full-path").isNotNull()), F.lit(0))
     return container.select("book_id", tag_attr(root, "full-path").alias("package_path")).where("package_path is not null")
 
 
@@ -90,8 +96,6 @@ def read_packages(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def package_durations(packages: DataFrame) -> DataFrame:
     """Declared durations (book_id, refines, duration_ms); null ``refines`` for the total."""
-    from textsync.functions.text import parse_clock
-
     metas = F.regexp_extract_all("xml", F.lit(rf"(?s)<{PREFIX}meta\b{ATTRS}>[^<]*"), F.lit(0))
     rows = packages.select("book_id", F.explode(metas).alias("piece"))
     tag = F.regexp_extract("piece", f"(?s)^<{ATTRS}>", 0)
@@ -109,8 +113,22 @@ def extract_corpus(pages: DataFrame) -> DataFrame:
 
 
 def corpus_of_archives(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of many archives → sections of their reading order, and what is wrong with them."""
-    roots = package_paths(entries)
+    """Entries of many archives → sections of their reading order, and what is wrong with them: books that cannot be opened,
+    lack a container or package document or have one over its limit, miss pages, or are too large."""
+    roots = package_paths(entries).groupBy("book_id").agg(F.min("package_path").alias("package_path"))
+    container = F.when(F.col("path") == "META-INF/container.xml", F.col("size"))
+    books = entries.groupBy("book_id").agg(F.max("error").alias("error"), F.max(container).alias("container"))
+    sizes = entries.select("book_id", F.col("path").alias("package_path"), F.col("size").alias("package"))
+    books = books.join(roots, "book_id", "left").join(sizes, ["book_id", "package_path"], "left")
+    opened, small = F.col("error").isNull(), F.coalesce(F.col("container") <= CONTAINER_BYTES, F.lit(False))
+    unopened = violations(
+        books, F.coalesce("package_path", F.lit("")),
+        archive_broken=~opened,
+        container_missing=opened & F.col("container").isNull(),
+        container_large=F.col("container") > CONTAINER_BYTES,
+        package_missing=small & F.col("package").isNull(),
+        package_large=F.col("package") > PACKAGE_BYTES,
+    )
     packages = roots.join(entries.withColumnRenamed("path", "package_path"), ["book_id", "package_path"]).where(
         F.col("size") <= PACKAGE_BYTES
     ).select("book_id", "package_path", F.col("bytes").cast("string").alias("xml"))
@@ -124,7 +142,6 @@ def corpus_of_archives(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         broken,
         violations(found, F.col("href"), page_missing=F.col("html").isNull() & F.col("size").isNull(), page_large=F.col("size") > PAGE_BYTES),
         violations(size, F.col("n"), corpus_large=F.col("n") > BOOK_BYTES),
+        unopened,
     ]
-    return sections, rules[0].unionByName(rules[1]).unionByName(rules[2])
-
-
+    return sections, reduce(DataFrame.unionByName, rules)
