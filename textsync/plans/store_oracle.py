@@ -2,7 +2,34 @@
 
 from textsync.plans.text_oracle import page_text
 
+CONTAINERS = "body address article aside blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul".split()
+HIDDEN = "head script style svg math noscript".split()
+
+
+def visible(c: str) -> str:
+    """Pages without comments, declarations and hidden subtrees."""
+    x = f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', '', 'g'), '(?s)<\\?.*?\\?>|<![^>]*>', '', 'g')"
+    for tag in HIDDEN:
+        x = f"regexp_replace({x}, '(?s)<{tag}(?:\\s[^>]*)?/>', '', 'g')"
+        x = f"regexp_replace({x}, '(?s)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
+    return x
+
+
 ORACLE = {
+    "line_anchors": f"""WITH e AS (SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
+          FROM (SELECT page_id, regexp_extract_all({visible('html')}, '(?s)<[^>]*>|[^<]+') AS pieces FROM pages)),
+        t AS (SELECT *, starts_with(piece, '<') AS tag, starts_with(piece, '</') AS shut, regexp_extract(piece, '^</?(?:[\\w.\\-]+:)?([\\w\\-]+)', 1) AS name FROM e),
+        f AS (SELECT *, tag AND name IN ({", ".join(f"'{x}'" for x in CONTAINERS)}) AND NOT ends_with(piece, '/>') AS holds,
+          tag AND name IN ('br', {", ".join(f"'{x}'" for x in CONTAINERS if x != 'body')}) AS breaks,
+          NOT tag AND trim(regexp_replace(replace(piece, '&nbsp;', ' '), '[\\s\\x{{A0}}]+', ' ', 'g')) <> '' AS says FROM t),
+        g AS (SELECT *, sum(CASE WHEN holds AND shut THEN -1 WHEN holds THEN 1 ELSE 0 END) OVER w AS depth, sum(breaks::INT) OVER w AS line,
+          CASE WHEN holds AND NOT shut THEN sum((holds AND NOT shut)::INT) OVER w END AS number FROM f WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+        o AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY page_id, depth ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM g),
+        l AS (SELECT page_id, line, arg_min(inside, pos) FILTER (depth > 0 AND inside IS NOT NULL) AS owner FROM o WHERE says GROUP BY page_id, line),
+        i AS (SELECT page_id, number AS owner, nullif(trim(regexp_extract(piece, '\\sid\\s*=\\s*"([^"]*)"', 1)), '') AS id FROM g WHERE number IS NOT NULL)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY line) - 1 AS line_index,
+          CASE WHEN owner IS NULL THEN NULL ELSE coalesce(id, 'stl-mo-s1-b' || owner) END AS anchor, owner IS NOT NULL AND id IS NULL AS generated
+        FROM l LEFT JOIN i USING (page_id, owner)""",
     "archive_corpus": f"""WITH p AS (SELECT page_id AS k, page_id // 5 AS b, {page_text()} AS text FROM pages),
         r AS (SELECT *, count(*) OVER (PARTITION BY b ORDER BY k) - 1 AS ord FROM p WHERE k % 9 <> 4 AND b % 13 NOT IN (1, 2, 3, 4))
         SELECT b AS book_id, 'section' AS rule, ord || ' OPS/p' || k || '.xhtml ' || sha256(text) AS entity FROM r WHERE k % 11 <> 3 AND text <> ''
