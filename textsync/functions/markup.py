@@ -63,6 +63,13 @@ def visible_markup(html: Column) -> Column:
     escaped = lambda x: F.array_join(F.transform(pieces(x), escape), "")
     c = _bind(c, lambda x: F.when(x.contains("<![CDATA["), escaped(x)).otherwise(x))
     c = F.regexp_replace(c, r"(?s)<\?.*?\?>|<![^>]*>", "")
+    # a closing tag that is left over shows that a hidden subtree held another of its kind
+    left = rf"</{PREFIX}(?:{'|'.join(HIDDEN_TAGS)})\s*>"
+    return _bind(c, lambda x: _bind(_without_hidden(x), lambda y: F.when(y.rlike(left), _without_hidden(_without_nested(x))).otherwise(y)))
+
+
+def _without_hidden(c: Column) -> Column:
+    """Hidden elements removed up to the first closing tag of their kind."""
     for tag in HIDDEN_TAGS:
         name = f"{PREFIX}{tag}"
         c = F.regexp_replace(c, f"(?s)<{name}(?:\\s{INNER})?/>", "")
@@ -70,6 +77,37 @@ def visible_markup(html: Column) -> Column:
     return c
 
 
+def _without_nested(c: Column) -> Column:
+    """Hidden subtrees removed whole: a fold over the tags of hidden elements counts the depth of the outermost one's kind.
+
+    Tags of other hidden elements inside it do not count, nor do closing tags outside. An element that is never closed hides
+    nothing. The fold keeps a list of the subtrees, not of the tags."""
+    tag = rf"(?s)<(?:/{PREFIX}(?:{'|'.join(HIDDEN_TAGS)})\s*|{PREFIX}(?:{'|'.join(HIDDEN_TAGS)})(?:\s{INNER})?)>"
+    tags, gaps = F.regexp_extract_all(c, F.lit(tag), F.lit(0)), F.split(c, tag, -1)
+    kinds = F.transform(tags, lambda t, i: F.struct(i.alias("at"), t.startswith("</").alias("shuts"), F.regexp_extract(t, rf"^</?{PREFIX}(\w+)", 1).alias("name")))
+    start = F.struct(
+        F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("since"), F.array().cast("array<struct<a:int,b:int>>").alias("spans")
+    )
+
+    def step(state: Column, t: Column) -> Column:
+        inside, own = state["depth"] > 0, state["name"] == t["name"]
+        depth = F.when(~inside & ~t["shuts"], 1).when(inside & own, state["depth"] + F.when(t["shuts"], -1).otherwise(1)).otherwise(state["depth"])
+        closes = inside & own & t["shuts"] & (state["depth"] == 1)
+        return F.struct(
+            F.when(inside, state["name"]).otherwise(t["name"]).alias("name"), depth.cast("int").alias("depth"), F.when(inside, state["since"]).otherwise(t["at"]).alias("since"),
+            F.when(closes, F.concat(state["spans"], F.array(F.struct(state["since"].alias("a"), t["at"].alias("b"))))).otherwise(state["spans"]).alias("spans"),
+        )
+
+    spans = F.aggregate(kinds, start, step, lambda state: state["spans"])
+
+    def shown(all_spans: Column) -> Column:
+        gap = lambda g, i: F.when(F.exists(all_spans, lambda s: (s["a"] < i) & (i <= s["b"])), "").otherwise(g)
+        after = lambda i: F.when(F.exists(all_spans, lambda s: (s["a"] <= i) & (i <= s["b"])), "").otherwise(F.coalesce(F.get(tags, i), F.lit("")))
+        return F.array_join(F.transform(gaps, lambda g, i: F.concat(gap(g, i), after(i))), "")
+
+    return _bind(spans, shown)
+
+
 def markup_to_text(html: Column) -> Column:
     """Visible text of a page: one line per block, whitespace runs squeezed, references decoded."""
     c = F.regexp_replace(visible_markup(html), f"{SPACE}+", " ")

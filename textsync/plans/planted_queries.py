@@ -20,6 +20,18 @@ def markup_references(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "pages").select("page_id", markup.markup_to_text(page).alias("text"))
 
 
+def markup_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden subtrees inside their own kind, one never closed and a stray closing tag, around each page's id and before its markup."""
+    page = F.concat(
+        F.lit("<p>a"), F.col("page_id"), F.lit('</p><svg><g><x:svg y="a>b">in</x:svg>still</g></svg><p>b</p><noscript><p>x</p><noscript>y</noscript><svg>z</noscript><p>c</p></svg>'),
+        F.lit("<math><math/><math>q</math></math><p>d</p>"), F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.lit("<svg>open <b>e</b><script>no</script>")),
+    )
+    text = F.col("text")
+    return fx.table(spark, d, "pages").select("page_id", markup.markup_to_text(page).alias("text"), markup.markup_to_text(F.col("html")).alias("own")).select(
+        "page_id", F.when(F.col("page_id") % 2 == 0, F.replace(text, F.col("own"), F.lit("own"))).otherwise(text).alias("text")
+    )
+
+
 def silence_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Silences that begin before the start or end past the duration, for each customer."""
     key = F.col("book_id")
@@ -183,7 +195,7 @@ def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        markup_references, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        markup_references, markup_nested, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
         resources_anchored,
     )
 }
