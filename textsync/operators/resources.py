@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsync.functions.markup import PREFIX, markup_to_text, tag_attr, unescape
+from textsync.functions.markup import ATTRS, PREFIX, markup_to_text, tag_attr, unescape
 from textsync.functions.paths import parent_path, resolve_href
 from textsync.functions.text import (
     distinctive_words,
@@ -29,7 +29,7 @@ def resource_refs(docs: DataFrame, html: str = "html") -> DataFrame:
     """Images of a page in document order: ``img`` with its own hints, and ``image`` inside the innermost
     ``svg`` with that svg's title, desc and text. Adds (image_ordinal, href, hints) to the other columns."""
     rest = [c for c in docs.columns if c != html]
-    tags = F.lit(rf"(?s)<{PREFIX}svg\b[^>]*>|</{PREFIX}svg\s*>|<{PREFIX}(?:img|image)\b[^>]*>|<{PREFIX}(title|desc|text)\b[^>]*(?<!/)>.*?</{PREFIX}\1\s*>")
+    tags = F.lit(rf"(?s)<{PREFIX}svg\b{ATTRS}>|</{PREFIX}svg\s*>|<{PREFIX}(?:img|image)\b{ATTRS}>|<{PREFIX}(title|desc|text)\b{ATTRS}(?<!/)>.*?</{PREFIX}\1\s*>")
     clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     pieces = docs.select(*rest, F.posexplode(F.regexp_extract_all(clean, tags, F.lit(0))).alias("pos", "tag"))
     kind = F.lower(F.regexp_extract("tag", rf"^</?{PREFIX}(\w+)", 1))
@@ -52,7 +52,7 @@ def resource_refs(docs: DataFrame, html: str = "html") -> DataFrame:
     images = found.where("href is not null").select(
         *rest, "svg", "href", own.alias("own"), (F.row_number().over(page) - 1).alias("image_ordinal")
     ).withColumn("svg", F.coalesce("svg", F.lit(-1)))
-    inner = F.split(F.regexp_replace("tag", r"(?s)<[^>]*>", "\u0001"), "\u0001")
+    inner = F.split(F.regexp_replace("tag", rf"(?s)<{ATTRS}>", "\u0001"), "\u0001")
     said = found.where("svg is not null and kind in ('title', 'desc', 'text')").groupBy(*rest, "svg").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", inner.alias("said")))), lambda s: s.said)).alias("said")
     )
@@ -64,9 +64,9 @@ def link_refs(docs: DataFrame, html: str = "html") -> DataFrame:
     """The same for links: ``a@href`` in document order, hinted by title and link text."""
     rest = [c for c in docs.columns if c != html]
     clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    links = F.regexp_extract_all(clean, F.lit(r"(?s)<a\s[^>]*>.*?</a>"), F.lit(0))
+    links = F.regexp_extract_all(clean, F.lit(rf"(?s)<a\s{ATTRS}>.*?</a>"), F.lit(0))
     rows = docs.select(*rest, F.posexplode(links).alias("image_ordinal", "link"))
-    tag = F.regexp_extract("link", r"^<a\s[^>]*>", 0)
+    tag = F.regexp_extract("link", rf"^<a\s{ATTRS}>", 0)
     return rows.select(
         *rest, "image_ordinal", tag_attr(tag, "href").alias("href"),
         hint_list(F.array(tag_attr(tag, "title"), markup_to_text(F.col("link")))).alias("hints"),

@@ -3,6 +3,8 @@
 ORACLE = {
     "markup_references": """SELECT page_id, 'café € &lt; &lt; &nosuch; éé <i> ' || page_id || chr(10) || 'z…' || chr(10) || 'end &' AS text FROM pages""",
     "markup_nested": """SELECT page_id, 'a' || page_id || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'own' ELSE 'open e' END AS text FROM pages""",
+    "images_quoted": """SELECT page_id, n AS image_ordinal, replace(h, '#', page_id::VARCHAR) AS href, replace(w, '#', page_id::VARCHAR) AS hints
+        FROM pages, (VALUES (0::BIGINT, 'p#.png', 'one>two|Title'), (1, 'm.png', 'Map #'), (2, 'd.png', 'deep words'), (3, 'x>y.jpg', ''), (10, 'l>#', 'to > there|link text')) t(n, h, w)""",
     "silence_bounds": """SELECT c_custkey AS book_id, 0::BIGINT AS from_ms, (1500 + c_custkey % 3 * 1000)::BIGINT AS until_ms FROM customer
         UNION ALL SELECT c_custkey, ((c_custkey % 7 + 5) * 1000)::BIGINT, 9000::BIGINT FROM customer WHERE c_custkey % 7 < 4""",
     "decisions_repeated": """SELECT o_custkey AS book_id, o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN 'pending' ELSE 'excluded' END AS state,

@@ -32,6 +32,19 @@ def markup_nested(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def images_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Images and links of a page for each id: tag ends inside quotes, images of nested drawings with the words of their own one."""
+    key = F.col("page_id").cast("string")
+    page = F.concat(
+        F.lit('<img alt="one>two" src="p'), key, F.lit('.png" title="Title"/><svg id=">"><title lang=">">Map '), key,
+        F.lit('</title><image xlink:href="m.png"/><svg><desc>deep words</desc><image href="d.png"/></svg></svg>'),
+        F.lit("<img src='x>y.jpg'/><image href='no.png'/><a title='to > there' href=\"l>"), key, F.lit('">link <b x=">">text</b></a>'),
+    )
+    docs = fx.table(spark, d, "pages").select("page_id", page.alias("html"))
+    found = resources.resource_refs(docs).unionByName(resources.link_refs(docs).withColumn("image_ordinal", F.col("image_ordinal") + 10))
+    return found.select("page_id", F.col("image_ordinal").cast("bigint").alias("image_ordinal"), "href", F.array_join("hints", "|").alias("hints"))
+
+
 def silence_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Silences that begin before the start or end past the duration, for each customer."""
     key = F.col("book_id")
@@ -195,7 +208,7 @@ def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        markup_references, markup_nested, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        markup_references, markup_nested, images_quoted, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
         resources_anchored,
     )
 }
