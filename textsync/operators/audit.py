@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textsync.functions.markup import ATTRS, PREFIX, tag_attr
+from textsync.functions.paths import parent_path, percent_decode, resolve_href
+from textsync.functions.text import parse_clock
 from textsync.operators.overlay import OVERLAY_TYPE, PAGE_TYPE
 from textsync.operators.timeline import union_all, violations
 
@@ -97,6 +100,89 @@ def audit_cues(cues: DataFrame, ids: DataFrame, audio: DataFrame | None = None)
     return union_all(found)
 
 
+def overlay_elements(overlays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Synchronised pairs and sequences of overlay documents ``(book_id, path, page_path, xml)``.
+
+    Pairs: ``(…, nth, text_src, audio_src, clip_begin, clip_end, start_ms, end_ms, nested)``, where of several texts or audios in
+    a pair the last counts; a pair that is never closed reaches the end. Sequences: ``(…, nth, textref)``."""
+    keys = ["book_id", "path", "page_path"]
+    clean = F.regexp_replace("xml", r"(?s)<!--.*?-->", "")
+    tag = lambda name: rf"<{PREFIX}{name}\b{ATTRS}>"
+    pair = rf"(?s){tag('par')}(?:(?!</{PREFIX}par\s*>).)*+(?:</{PREFIX}par\s*>|$)"
+    pairs = overlays.select(*keys, F.posexplode(F.regexp_extract_all(clean, F.lit(pair), F.lit(0))).alias("nth", "par"))
+    last = lambda name: F.try_element_at(F.regexp_extract_all("par", F.lit(f"(?s){tag(name)}"), F.lit(0)), F.lit(-1))
+    pairs = pairs.withColumns({"text": last("text"), "audio": last("audio")})
+    begin, end = (tag_attr(F.col("audio"), name) for name in ("clipBegin", "clipEnd"))
+    pairs = pairs.select(
+        *keys, "nth", tag_attr(F.col("text"), "src").alias("text_src"), tag_attr(F.col("audio"), "src").alias("audio_src"),
+        begin.alias("clip_begin"), end.alias("clip_end"), parse_clock(begin).alias("start_ms"), parse_clock(end).alias("end_ms"),
+        (F.size(F.regexp_extract_all("par", F.lit(tag("par")), F.lit(0))) > 1).alias("nested"), (~F.col("par").rlike(rf"</{PREFIX}par\s*>$")).alias("open"),
+    )
+    sequences = overlays.select(*keys, F.posexplode(F.regexp_extract_all(clean, F.lit(f"(?s){tag('seq')}"), F.lit(0))).alias("nth", "seq"))
+    return pairs, sequences.select(*keys, "nth", tag_attr(F.col("seq"), "textref").alias("textref"))
+
+
+def audit_overlay_documents(overlays: DataFrame, ids: DataFrame, audio: DataFrame) -> DataFrame:
+    """Overlay documents ``(book_id, path, page_path, xml)`` against the ids of pages, ``ids(book_id, path, id)``, and the audio that
+    packages declare, ``audio(book_id, path, size)``: every pair is whole and positive, its text is an existing id of the one page
+    that the overlay belongs to, its audio is declared and not empty; every sequence refers to that page."""
+    pairs, sequences = overlay_elements(overlays)
+    folder = parent_path(F.col("path"))
+    mark = lambda c: F.instr(c, "#") > 0
+    fragment = lambda c: percent_decode(F.regexp_extract(c, "#(.*)$", 1))
+    said = lambda kind: F.concat_ws(" ", "path", F.concat(F.lit(f"{kind} "), F.col("nth").cast("string")))
+    targets = pairs.where("text_src IS NOT NULL").select("book_id", "path", "page_path", said("par").alias("entity"), F.col("text_src").alias("src")).unionByName(
+        sequences.where("textref IS NOT NULL").select("book_id", "path", "page_path", said("seq").alias("entity"), F.col("textref").alias("src"))
+    )
+    targets = targets.withColumns({"target": resolve_href(folder, F.col("src"))["path"], "id": F.when(mark(F.col("src")), fragment("src"))})
+    held = ids.select("book_id", F.col("path").alias("target"), "id", F.lit(True).alias("there")).distinct()
+    targets = targets.join(held, ["book_id", "target", "id"], "left")
+    here, blank = F.col("target").eqNullSafe(F.col("page_path")), F.trim(F.coalesce("id", F.lit(""))) == ""
+    sounds = pairs.where("audio_src IS NOT NULL").withColumn("target", resolve_href(folder, F.col("audio_src"))["path"])
+    declared = audio.groupBy("book_id", F.col("path").alias("target")).agg(F.max("size").alias("size"))
+    sounds = sounds.join(declared, ["book_id", "target"], "left")
+    of_par = F.col("entity").contains(" par ")
+    return union_all([
+        violations(
+            pairs, said("par"),
+            nested_pair=F.col("nested"), open_pair=F.col("open"), text_missing=F.col("text_src").isNull(), audio_missing=F.col("audio_src").isNull(),
+            clip_begin_missing=F.col("clip_begin").isNull(), clip_end_missing=F.col("clip_end").isNull(),
+            clock_invalid=(F.col("clip_begin").isNotNull() & F.col("start_ms").isNull()) | (F.col("clip_end").isNotNull() & F.col("end_ms").isNull()),
+            clip_range=F.col("end_ms") <= F.col("start_ms"),
+        ),
+        violations(sequences, said("seq"), textref_missing=F.col("textref").isNull()),
+        violations(
+            targets, F.col("entity"),
+            fragment_missing=of_par & ~mark(F.col("src")), target_other_page=~here, fragment_blank=here & mark(F.col("src")) & blank,
+            target_missing=here & mark(F.col("src")) & ~blank & F.col("there").isNull(),
+        ),
+        violations(sounds, said("par"), audio_undeclared=F.col("size").isNull(), audio_empty=F.col("size") == 0),
+    ])
+
+
+def audit_source_packages(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Packages ``(book_id, package_path, xml)`` a synchronised book may be built from: version 3, metadata and manifest present, no
+    overlay from an earlier build, and none of the pages to synchronise, ``wanted(book_id, href)``, tied to one."""
+    clean = F.regexp_replace("xml", r"(?s)<!--.*?-->", "")
+    tags = lambda name: F.regexp_extract_all(clean, F.lit(rf"(?s)<{PREFIX}{name}\b{ATTRS}>"), F.lit(0))
+    attr = lambda t, name: tag_attr(t, name)
+    rows = packages.select("book_id", "package_path", attr(F.get(tags("package"), F.lit(0)), "version").alias("version"), tags("manifest").alias("manifest"), tags("metadata").alias("metadata"), tags("item").alias("items"), tags("meta").alias("metas"))
+    tied = lambda t: attr(t, "id").isNotNull() & ((F.coalesce(attr(t, "media-type"), F.lit("")) == OVERLAY_TYPE) | attr(t, "media-overlay").isNotNull())
+    timed = lambda t: F.coalesce(attr(t, "property") == "media:duration", F.lit(False))
+    items = rows.select("book_id", parent_path(F.col("package_path")).alias("dir"), F.explode("items").alias("t"))
+    pages = items.where((attr(F.col("t"), "media-type") == PAGE_TYPE) & attr(F.col("t"), "id").isNotNull() & attr(F.col("t"), "media-overlay").isNotNull())
+    pages = pages.select("book_id", resolve_href(F.col("dir"), attr(F.col("t"), "href"))["path"].alias("href")).distinct()
+    return union_all([
+        violations(
+            rows, F.coalesce("version", F.lit("")),
+            version_missing=F.col("version").isNull(), version_unsupported=~F.col("version").startswith("3"),
+            manifest_missing=F.size("manifest") == 0, metadata_missing=F.size("metadata") == 0,
+            earlier_overlay=F.exists("items", tied) | F.exists("metas", timed),
+        ),
+        violations(pages.join(wanted.select("book_id", "href").distinct(), ["book_id", "href"]), F.col("href"), page_overlaid=F.lit(True)),
+    ])
+
+
 def audit_ids(ids: DataFrame) -> DataFrame:
     """Ids used more than once in a page."""
     twice = ids.groupBy("book_id", "section_ord", "id").count().where("count > 1")

@@ -40,6 +40,12 @@ ORACLE = {
     "ocr_source": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS h FROM orders)
         SELECT k AS book_id, 'page' || k || ' two words|line' || k AS said, 80::BIGINT AS row FROM o
         UNION ALL SELECT k, r, (h + i)::BIGINT FROM o, (VALUES ('confidence', 3), ('confidence', 4), ('columns', 5), ('text_blank', 7)) t(r, i)""",
+    "overlay_documents_audited": """SELECT o_orderkey AS book_id, r AS rule, 'smil/o.smil ' || e AS entity FROM orders, (VALUES (1, 'text_missing', 'par 1'), (2, 'fragment_missing', 'par 1'),
+          (3, 'target_other_page', 'par 1'), (4, 'fragment_blank', 'par 1'), (5, 'target_missing', 'par 1'), (6, 'audio_missing', 'par 1'), (6, 'clip_begin_missing', 'par 1'), (6, 'clip_end_missing', 'par 1'),
+          (7, 'clip_begin_missing', 'par 1'), (8, 'clip_range', 'par 1'), (9, 'audio_undeclared', 'par 1'), (10, 'audio_empty', 'par 1'), (11, 'nested_pair', 'par 1'), (12, 'open_pair', 'par 1'),
+          (13, 'clock_invalid', 'par 1'), (14, 'textref_missing', 'seq 0'), (15, 'target_other_page', 'seq 0')) t(n, r, e) WHERE o_orderkey % 16 = n""",
+    "source_packages_audited": """SELECT o_orderkey AS book_id, r AS rule, e AS entity FROM orders, (VALUES (1, 'earlier_overlay', '3.0'), (1, 'page_overlaid', 'OPS/p q.xhtml'), (2, 'earlier_overlay', '3.0'),
+          (3, 'version_missing', ''), (4, 'version_unsupported', '2.0'), (5, 'metadata_missing', '3.0'), (6, 'earlier_overlay', '3.0'), (7, 'manifest_missing', '3.0')) t(n, r, e) WHERE o_orderkey % 8 = n""",
     "recompute_unknown": """WITH s(stage, o) AS (VALUES ('prepare', 0), ('analyze', 1), ('align', 2), ('review_audio', 3), ('encode', 4), ('build_epub', 5), ('validate', 6))
         SELECT doc_id AS book_id, stage, o < least(CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 7 END, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 7 END, CASE WHEN doc_id % 7 = 3 THEN 4 ELSE 7 END) AS reuse
         FROM documents, s""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsync.functions import markup
-from textsync.operators import ledger, overlay, resources, review
+from textsync.operators import audit, ledger, overlay, resources, review
 from textsync.plans import fixtures as fx
 from textsync.sources import logs, recognised
 
@@ -143,6 +143,45 @@ def ocr_source(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(rejected.select("book_id", F.col("reason").alias("said"), F.col("row").cast("bigint").alias("row")))
 
 
+def overlay_documents_audited(spark: SparkSession, d: str) -> DataFrame:
+    """An overlay document for each order with one fault by its number, next to a sound pair and a comment with a faulty one."""
+    key = F.col("o_orderkey")
+    pair = lambda text, audio: F.concat(F.lit("<par id='x>'>"), F.lit(text), F.lit(audio), F.lit("</par>"))
+    text, sound = '<text src="../page%20one.xhtml#a%20b"/>', '<audio src="a/one.mp3" clipBegin="0:00:01.5" clipEnd="0:00:02"/>'
+    faults = {
+        1: pair("", sound), 2: pair('<text src="../page%20one.xhtml"/>', sound), 3: pair('<text src="other.xhtml#a%20b"/>', sound), 4: pair('<text src="../page%20one.xhtml#%20"/>', sound),
+        5: pair('<text src="../page%20one.xhtml#none"/>', sound), 6: pair(text, ""), 7: pair(text, '<audio src="a/one.mp3" clipEnd="0:00:02"/>'), 8: pair(text, '<audio src="a/one.mp3" clipBegin="0:00:02" clipEnd="0:00:02"/>'),
+        9: pair(text, '<audio src="a/two.mp3" clipBegin="0:00:01" clipEnd="0:00:02"/>'), 10: pair(text, '<audio src="a/empty.mp3" clipBegin="0:00:01" clipEnd="0:00:02"/>'),
+        11: F.concat(F.lit("<par>"), pair(text, sound)), 12: F.lit(f"<par>{text}{sound}"), 13: pair(text, '<audio src="a/one.mp3" clipBegin="0:00:01" clipEnd="0:75:02"/>'),
+    }
+    fault = F.lit("")
+    for number, xml in faults.items():
+        fault = F.when(key % 16 == number, xml).otherwise(fault)
+    textref = F.when(key % 16 == 14, "<seq>").when(key % 16 == 15, '<seq epub:textref="other.xhtml">').otherwise('<seq epub:textref="../page%20one.xhtml#a%20b">')
+    overlays = fx.table(spark, d, "orders").select(
+        key.alias("book_id"), F.lit("smil/o.smil").alias("path"), F.lit("page one.xhtml").alias("page_path"),
+        F.concat(F.lit("<smil><!-- <par> -->"), textref, pair(text, sound), fault, F.lit("</seq></smil>")).alias("xml"),
+    )
+    books = overlays.select("book_id")
+    ids = books.select("book_id", F.lit("page one.xhtml").alias("path"), F.lit("a b").alias("id"))
+    audio = books.select("book_id", F.explode(F.array(F.struct(F.lit("smil/a/one.mp3").alias("path"), F.lit(9).alias("size")), F.struct(F.lit("smil/a/empty.mp3").alias("path"), F.lit(0).alias("size")))).alias("a")).select("book_id", "a.*")
+    return audit.audit_overlay_documents(overlays, ids, audio)
+
+
+def source_packages_audited(spark: SparkSession, d: str) -> DataFrame:
+    """A package for each order with one fault by its number."""
+    key = F.col("o_orderkey") % 8
+    item = lambda more: f'<item id="p" href="p%20q.xhtml" media-type="application/xhtml+xml"{more}/>'
+    inner = F.when(key == 1, item(' media-overlay="o"')).when(key == 2, item("") + '<item id="o" href="o.smil" media-type="application/smil+xml"/>').otherwise(item(""))
+    version = F.when(key == 3, "").when(key == 4, ' version="2.0"').otherwise(' version="3.0"')
+    meta = F.when(key == 5, "").when(key == 6, '<metadata><meta property="media:duration">0:00:01</meta></metadata>').otherwise("<metadata/>")
+    manifest = F.when(key == 7, "").otherwise(F.concat(F.lit("<manifest>"), inner, F.lit("</manifest>")))
+    packages = fx.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("book_id"), F.lit("OPS/b.opf").alias("package_path"), F.concat(F.lit("<package"), version, F.lit(">"), meta, manifest, F.lit("</package>")).alias("xml")
+    )
+    return audit.audit_source_packages(packages, packages.select("book_id", F.lit("OPS/p q.xhtml").alias("href")))
+
+
 def recompute_unknown(spark: SparkSession, d: str) -> DataFrame:
     """Books with an unknown recogniser, and ledgers that lack the rows of some stages."""
     inputs = fx.stage_inputs(spark, d).withColumn("ocr_backend", F.when(F.col("book_id") % 3 != 0, F.col("ocr_backend")))
@@ -208,7 +247,7 @@ def resources_anchored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        markup_references, markup_nested, images_quoted, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
+        markup_references, markup_nested, images_quoted, silence_bounds, decisions_repeated, drafts_repeated, drafts_read, reports_read, totals_audited, ocr_source, overlay_documents_audited, source_packages_audited, recompute_unknown, windows_reversed, edges_kept, readouts_checked,
         resources_anchored,
     )
 }
