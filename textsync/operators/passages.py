@@ -23,15 +23,16 @@ def _votes(book: DataFrame, items: DataFrame, n: int, ahead: int | None) -> Data
     return hits.groupBy("item_id", "book_id", "start").agg(F.count("*").cast("int").alias("votes")).withColumn("n", F.lit(n))
 
 
-def _top(votes: DataFrame) -> DataFrame:
-    """The candidates worth measuring: most votes, then nearest to the beginning."""
+def _top(votes: DataFrame, top: int) -> DataFrame:
+    """The ``top`` candidates worth measuring: most votes, then nearest to the beginning."""
     rank = F.row_number().over(Window.partitionBy("item_id", "book_id").orderBy(F.desc("votes"), "start"))
-    return votes.withColumn("rank", rank).where(F.col("rank") <= TOP)
+    return votes.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def locate_passages(passages: DataFrame, documents: DataFrame, ahead: int | None = None) -> DataFrame:
+def locate_passages(passages: DataFrame, documents: DataFrame, ahead: int | None = None, top: int = TOP) -> DataFrame:
     """Where each passage (item_id, text) occurs in each document (doc_id, text), if it reaches the
-    acceptance threshold: (item_id, doc_id, start, end, score_milli)."""
+    acceptance threshold: (item_id, doc_id, start, end, score_milli). ``top`` places with the most shared n-grams are
+    measured for each passage and document."""
     items = stage(segment_tokens(passages, ["item_id"]))
     lines = F.transform(
         F.split("text", "\n"),
@@ -50,10 +51,10 @@ def locate_passages(passages: DataFrame, documents: DataFrame, ahead: int | None
     votes = stage(_votes(packed, items, 3, ahead))
     met = votes.select(*pair).distinct()
     votes2 = stage(_votes(packed, items, 2, ahead).join(met, pair, "left_anti"))
-    found = _top(votes).unionByName(_top(votes2))
+    found = _top(votes, top).unionByName(_top(votes2, top))
     pairs = items.where("len = 2")
     short = _votes(packed, pairs, 1, ahead).join(met.unionByName(votes2.select(*pair).distinct()), pair, "left_anti")
-    found = found.unionByName(_top(short))
+    found = found.unionByName(_top(short, top))
     scored = score_windows(found, items, token_pages(packed, strides), on=("item_id",), keep=("book_id", "rank"))
     near = scored.select("item_id", "book_id", "rank", F.posexplode("best").alias("at", "b"))
     if ahead is not None:

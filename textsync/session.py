@@ -37,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
+        configured = f"{warehouse}/_shared"
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
