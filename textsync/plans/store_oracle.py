@@ -1,5 +1,6 @@
 """SQL of the queries through files, all values written out."""
 
+from textsync.plans import text_oracle
 from textsync.plans.text_oracle import page_text
 
 CONTAINERS = "body address article aside blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul".split()
@@ -42,4 +43,5 @@ ORACLE = {
     "documents_published": """WITH j AS (SELECT '{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || n_chars || '}' AS row FROM documents),
         t AS (SELECT count(*) AS rows, sum(('0x' || substr(sha256(row), 1, 15))::BIGINT)::VARCHAR AS digest FROM j)
         SELECT rows, digest FROM t, range(3)""",
+    "stream_alignment": f"SELECT book_id, seg, status, match_percent FROM ({text_oracle.ORACLE['alignment']})",
 }

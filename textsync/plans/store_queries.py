@@ -13,6 +13,7 @@ from textsync.functions.text import idiv
 from textsync.plans import fixtures as fx
 from textsync.session import new_folder, stage
 from textsync.sources import archives, sinks
+from textsync.streaming import merge
 
 PAGE = "application/xhtml+xml"
 
@@ -68,4 +69,31 @@ def documents_published(spark: SparkSession, d: str) -> DataFrame:
     return first.select("rows", "digest").unionByName(again.select("rows", "digest")).unionByName(back)
 
 
-QUERIES = {f.__name__: f for f in (archive_corpus, documents_written, documents_published)}
+def stream_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The reading of every book as a file stream of chunk results, merged in order, aligned when complete; the last epoch is
+    replayed, which the ledger stops."""
+    segments = stage(fx.segments(spark, d)).withColumn("chunk_idx", idiv(F.col("seg"), 50))
+    plans = stage(segments.groupBy("book_id", "chunk_idx").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")))
+    placed = segments.join(plans.select("book_id", "chunk_idx", F.col("start_ms").alias("zero")), ["book_id", "chunk_idx"])
+    one = F.struct("seg", (F.col("start_ms") - F.col("zero")).alias("start_ms"), (F.col("end_ms") - F.col("zero")).alias("end_ms"), "text")
+    results = placed.groupBy("book_id", "chunk_idx").agg(F.array_sort(F.collect_list(one)).alias("rows")).select(
+        "book_id", "chunk_idx", F.lit(True).alias("ok"), F.col("rows").cast("array<struct<seg:bigint,start_ms:bigint,end_ms:bigint,text:string>>").alias("rows")
+    )
+    results = results.withColumn("segments", F.transform("rows", lambda r: F.struct(r["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"), r["text"].alias("text")))).drop("rows")
+    place = new_folder(spark, "stream")
+    results.repartition(6, "chunk_idx").write.parquet(f"{place}/in")
+    kind = "book_id bigint, chunk_idx bigint, ok boolean, segments array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+    chunks = spark.readStream.schema(kind).option("maxFilesPerTrigger", 3).parquet(f"{place}/in")
+    merged = merge.stream_merge_chunks(chunks, plans, timeout_ms=None)
+    writer = merge.stream_align(merged, fx.sections(spark, d), f"{place}/segments", f"{place}/alignment", f"{place}/ledger", f"{place}/state")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{place}/ledger").agg(F.max("epoch").alias("epoch")).first()["epoch"]
+    books = spark.read.parquet(f"{place}/ledger").where(F.col("epoch") == last).select("book_id").distinct()
+    ended = books.select("book_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in merge.OUT.split(", ")[1:-1])], F.lit("complete").alias("status"))
+    writer.each(ended, last + 1)  # the same books, unchanged, in another epoch
+    found = spark.read.parquet(f"{place}/alignment")
+    return found.select("book_id", "seg", "status", F.round("match_percent", 6).alias("match_percent"))
+
+
+QUERIES = {f.__name__: f for f in (archive_corpus, documents_written, documents_published, stream_alignment)}

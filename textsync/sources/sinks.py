@@ -38,7 +38,7 @@ def content_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), total.alias("digest"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
@@ -107,8 +107,8 @@ def publish_table(df: DataFrame, destination: str, intents: str, audits: list[Da
         want = content_digest(spark.read.parquet(staging)).first()
         name = f"{intents}/{hashlib.sha256(destination.encode()).hexdigest()}"
         intent = (INTENT_VERSION, destination, want.rows, want.digest)
-        recorded = _exists(spark, name) and [tuple(r) for r in spark.read.schema(INTENT).json(name).collect()] == [intent]
-        if _exists(spark, destination):
+        recorded = exists(spark, name) and [tuple(r) for r in spark.read.schema(INTENT).json(name).collect()] == [intent]
+        if exists(spark, destination):
             if not recorded:
                 raise PublicationError("destination exists and was not written by this publication")
             if tuple(content_digest(spark.read.parquet(destination)).first()) != (want.rows, want.digest):

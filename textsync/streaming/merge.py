@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textsync.operators.align import align_segments
 from textsync.session import stage
+from textsync.sources.sinks import exists
 
 OUT = "book_id bigint, seg bigint, chunk_idx bigint, start_ms bigint, end_ms bigint, text string, status string"
 BUCKETS = 64
@@ -85,9 +86,22 @@ def stream_merge_chunks(chunk_stream: DataFrame, plans: DataFrame, timeout_ms: i
     return rows.groupBy("book_id").applyInPandasWithState(_merge(timeout_ms), OUT, STATE, "append", timer)
 
 
-def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, alignment_path: str, checkpoint: str):
+def book_fingerprints(segments: DataFrame, sections: DataFrame) -> DataFrame:
+    """(book_id, fingerprint): what the alignment of a book depends on, whatever order its rows are in."""
+    parts = segments.select("book_id", F.xxhash64(F.lit("segment"), "seg", "start_ms", "end_ms", "text").alias("part")).unionByName(
+        sections.select("book_id", F.xxhash64(F.lit("section"), "section_ord", "href", "text").alias("part"))
+    )
+    total = F.sum(F.col("part").cast("decimal(38,0)")).cast("string")
+    return parts.groupBy("book_id").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total), 256).alias("fingerprint"))
+
+
+def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, alignment_path: str, ledger_path: str, checkpoint: str):
     """Write merged segments as they come, in buckets of books, and align each book in the batch that completes
-    it. Only the buckets of finished books are read again."""
+    it. Only the buckets of finished books are read again.
+
+    The ledger (book_id, fingerprint), one folder an epoch, is written after the alignment it stands for. A book whose fingerprint
+    it has is not aligned again: a replayed epoch and an unchanged book do nothing, and an epoch that died before its ledger was written
+    replaces what it had left. Of a book with several entries the alignment of the latest epoch counts."""
     spark, bucket = sections.sparkSession, F.pmod(F.hash("book_id"), F.lit(BUCKETS)).cast("int")
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -101,7 +115,18 @@ def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, ali
         schema = ", ".join([*OUT.split(", ")[:-1], "epoch bigint", "bucket int"])
         known = spark.read.schema(schema).parquet(segments_path).where(F.col("bucket").isin(wanted))
         ready = stage(known.join(finished, "book_id", "left_semi").select("book_id", "seg", "start_ms", "end_ms", "text"))
-        books = sections.join(finished, "book_id", "left_semi")
-        align_segments(ready, books).write.mode("overwrite").parquet(f"{alignment_path}/epoch={epoch}")
+        books = stage(sections.join(finished, "book_id", "left_semi"))
+        due = book_fingerprints(ready, books)
+        if exists(spark, ledger_path):
+            held = spark.read.schema("book_id bigint, fingerprint string, epoch bigint").parquet(ledger_path)
+            due = due.join(held.select("book_id", "fingerprint").distinct(), ["book_id", "fingerprint"], "left_anti")
+        due = stage(due)
+        if due.isEmpty():
+            return
+        fresh = lambda rows: rows.join(due.select("book_id"), "book_id", "left_semi")
+        align_segments(fresh(ready), fresh(books)).write.mode("overwrite").parquet(f"{alignment_path}/epoch={epoch}")
+        due.write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}")
 
-    return merged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    query = merged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    query.each = each  # the batch function, to replay an epoch
+    return query
