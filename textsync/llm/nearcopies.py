@@ -104,17 +104,22 @@ def _signed(words: int, bands: int, places: int):
                     key = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
                     for i in range(places):
                         key = mixed(key * STEP + signature[:, :, i])
-                    one = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                    two = np.array([np.bitwise_xor.reduce(mixed(s ^ STEP)) if len(s) else 0 for s in sets], np.uint64)
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * bands
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1).view(np.int64)))],
+                    [part.column(0), pa.array(size), *_identity(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1).view(np.int64)))],
                     ["doc_id", "n_shingles", "one", "two", "bands"],
                 )
 
     return run
 
 
+def _identity(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit hashes of each whole set."""
+    one = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    two = np.array([np.bitwise_xor.reduce(mixed(s ^ STEP)) if len(s) else 0 for s in sets], np.uint64)
+    return [pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +127,8 @@ def _sets(words: int):
                 sets = shingle_sets(part.column(1), words)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "shingles"])
+                size = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, *_identity(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "n_shingles", "one", "two", "shingles"])
 
     return run
 
@@ -142,10 +148,19 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80, bands: int =
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and kept.
     Rows with a null id are left out; repeated rows of one id count as one document, the row with the
-    most shingles. Other columns are ignored.
+    most shingles (of these the one with the highest hashes of its set). Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     signed = stage(texts.mapInArrow(_signed(words, bands, places), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
+    row = F.struct("n_shingles", "one", "two")
+    several = stage(signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max(row).alias("best")).where("k > 1").select("doc_id", "best"))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """One row an id: of several, the one with the most shingles, of these the one with the highest hashes of its set."""
+        of_several = rows.join(several, "doc_id").where(row == F.col("best")).select(rows.columns).dropDuplicates(["doc_id"])
+        return rows.join(several, "doc_id", "left_anti").unionByName(of_several)
+
+    signed = settled(signed)
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = stage(filled.drop("bands").join(classes, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
@@ -157,7 +172,8 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80, bands: int =
     pairs = stage(fitted(met, buckets.count()))
     wanted = fitted(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), 2 * pairs.count())
     wanted = stage(wanted)
-    sets = stage(_likely(texts, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    listed = _likely(texts, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, n_shingles long, one long, two long, shingles array<long>")
+    sets = stage(settled(listed).select("doc_id", "shingles"))
     tested = _compare(pairs, sets)
     near = tested.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
     groups = stage(components(near))
