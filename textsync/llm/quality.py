@@ -177,11 +177,12 @@ def _survey(rules: Sequence[Rule], column: str):
 
 
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """Rules by rejections per second, highest first, as measured on at most ``sample`` rows.
+    """Rules by rejections per second, highest first, as measured on about ``sample`` rows.
 
-    Every rule runs alone on the sample, so its cost is what it would be as the first of the cascade. The
-    sample only sets the order; the verdict is the same in any order."""
-    some = docs.select(column).limit(sample)
+    The sample is drawn from all rows, each by itself, where they lie. Every rule runs alone on it, so its cost is what it
+    would be as the first of the cascade. The sample only sets the order; the verdict is the same in any order. As
+    costs are measured times, the order may differ between reruns."""
+    some = docs.select(column).sample(min(1.0, sample / max(docs.count(), 1)), seed=5)
     seen = some.mapInArrow(_survey(rules, column), "rule int, rows long, spent double, rejected long")
     found = seen.groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected")).collect()  # one row a rule
     worth = {r["rule"]: (r["rejected"] + 1e-3) / max(r["spent"], 1e-9) for r in found}
