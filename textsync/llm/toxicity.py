@@ -105,17 +105,21 @@ class Swaps:
         self.kind = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
         held = np.array([int((found[:, 0] == t[0]).sum()) for t in self.terms])
         self.pull = penalty * (1 + held / inserted)
+        # what a step on the terms' own buckets adds to each term: the unit matrix, but for buckets that terms share
+        shared = (self.terms[:, None, :] == self.terms[:, 0][None, :, None]).sum(2)
+        self.own = np.linalg.pinv(shared.astype(float))
 
     def worth(self, weights: np.ndarray) -> np.ndarray:
         return weights[self.terms].sum(1)
 
     def settle(self, weights: np.ndarray) -> None:
-        """One proximal step on the squared score changes: terms of a kind move towards each other and to
-        adding nothing, in proportion to how many pairs they are in. Stable at any strength."""
+        """One proximal step on the squared score changes: what a term adds shrinks to nothing, and so to what the other terms
+        of its kind add, in proportion to how many pairs it is in.
+
+        Only the buckets of the whole terms move, so words that merely begin alike keep their weights. The steps solve one
+        linear system, which leaves every term with just the worth wanted, so the step is stable at any strength."""
         worth = self.worth(weights)
-        mean = (np.bincount(self.kind, worth) / np.bincount(self.kind))[self.kind]
-        better = mean / (1 + self.pull) + (worth - mean) / (1 + self.pull)
-        np.add.at(weights, self.terms, ((better - worth) / self.terms.shape[1])[:, None])
+        np.add.at(weights, self.terms[:, 0], self.own @ (worth / (1 + self.pull) - worth))
 
 
 def _features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
