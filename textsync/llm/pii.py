@@ -24,9 +24,11 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CUE = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,24})(\x20?[:=]\x20?)[\x22']?(\+[0-9][\x20().0-9-]+[0-9]|[^\s\x22'<>,;/][^\s\x22'<>,;]{5,}+)"
 CONTEXT = "context"
 KINDS = [*BASE, CONTEXT]
-#: A word of running text: a base match, a word before : or =, or a run that neither begins nor ends with punctuation.
+#: A word of running text: a base match, a word before : or =, or a run that neither begins nor ends with punctuation. Letters
+#: alone before a space are by far the most frequent of these runs and are tried first.
 WORD = (
-    "|".join([BASE["email"], *(f"(?:{x})(?![\\p{{L}}\\p{{N}}_])" for x in (BASE["ip"], BASE["phone"], r"[0-9](?:[\x20-]?[0-9]){13,}+"))])
+    r"[A-Za-z\u00C0-\u024F]++(?=[.:!?]?+[\s\x22'<>,;])|"
+    + "|".join([BASE["email"], *(f"(?:{x})(?![\\p{{L}}\\p{{N}}_])" for x in (BASE["ip"], BASE["phone"], r"[0-9](?:[\x20-]?[0-9]){13,}+"))])
     + r"|[\p{L}_-]{3,}+(?=[:=])|[^\s\p{Ps}\p{Pe}\p{Pi}\p{Pf}\x22'<>,;.:!?|=](?:[^\s\x22'<>,;]*[^\s\p{Ps}\p{Pe}\p{Pi}\p{Pf}\x22'<>,;.:!?|])?"
 )
 #: Words around a value that make a pattern, by their distance from it: two before, one on each side, two after.
@@ -94,13 +96,16 @@ def _words(docs: DataFrame) -> DataFrame:
     """Every word of every text as ``(content, at, value, patterns)``: hashes of the word and of what surrounds it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(content_hash().alias("content"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
-    found = found.select("content", "_words", F.transform("_words", lambda w: F.xxhash64(F.lower(w))).alias("_near"))
-
-    def near(i, step):  # nothing there counts as a word of its own
-        return F.coalesce(F.get("_near", i + step), F.lit(0).cast("long"))
-
-    row = F.transform("_words", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("value"), F.array(*[F.xxhash64(F.lit(k), near(i, x), near(i, y)) for k, (x, y) in enumerate(AROUND)]).alias("patterns")))
-    return found.select("content", F.explode(row).alias("w")).select("content", "w.*")
+    found = found.select("content", F.transform("_words", lambda w: F.xxhash64(w)).alias("value"), F.transform("_words", lambda w: F.xxhash64(F.lower(w))).alias("_near"))
+    none, n = F.lit(0).cast("long"), F.size("_near")  # nothing there counts as a word of its own
+    shifted = {
+        -2: F.concat(F.array(none, none), "_near"), -1: F.concat(F.array(none), "_near"),
+        1: F.concat(F.slice("_near", 2, n), F.array(none)), 2: F.concat(F.slice("_near", 3, n), F.array(none, none)),
+    }
+    zipped = F.arrays_zip("value", *[words.alias(f"w{step + 2}") for step, words in shifted.items()])
+    rows = found.select("content", F.posexplode(zipped).alias("at", "w")).where("w.value IS NOT NULL")
+    patterns = [F.xxhash64(F.lit(k), f"w.w{x + 2}", f"w.w{y + 2}") for k, (x, y) in enumerate(AROUND)]
+    return rows.select("content", "at", F.col("w.value").alias("value"), F.array(*patterns).alias("patterns"))
 
 
 def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
