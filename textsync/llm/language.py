@@ -134,7 +134,8 @@ def fit(texts: Sequence[tuple[str, str]], rounds: int = 10, per_language: int =
 
 def train(docs: DataFrame, per_label: int = 300, longest: int = 20_000, **options) -> Network:
     """Fit on a bounded sample of ``docs(doc_id, text, lang)`` that are not held out: at most ``per_label``
-    documents of at most ``longest`` characters a language. Null languages teach nothing."""
+    documents of at most ``longest`` characters a language, for the 200 most frequent languages; others are never
+    learnt and never predicted. Null languages teach nothing."""
     known = docs.select("doc_id", F.col("lang").alias("label"))
     return fit(labelled_texts(docs, known, per_label, longest), **options)
 
