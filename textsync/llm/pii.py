@@ -37,6 +37,8 @@ AROUND = ((-2, -1), (-1, 1), (1, 2))
 MAP = 1 << 25
 #: Score of a seed that only looks opaque; least score of a pattern; distinct values it needs; weight of doubt; move of a confidence that counts.
 OPAQUE, CONFIDENT, SUPPORT, DOUBT, MOVED = 0.7, 0.6, 3, 0.5, 1e-4
+#: One document in so many, by a hash, gives the lower bound of a pattern's values.
+SHARE = 32
 
 
 def _digits(found: Column) -> Column:
@@ -119,18 +121,19 @@ def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(mask) != 0).select(rows.columns)
 
 
-def _held(docs: DataFrame, column: str, wanted: DataFrame, *columns: str) -> DataFrame:
+def _held(docs: DataFrame, column: str, wanted: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Distinct ``columns`` of the words of running text, a row for each pattern, whose ``column`` is in ``wanted``.
 
-    What is found is pre-aggregated before it moves, so a frequent pattern is as many rows as it has values."""
+    What is found is pre-aggregated before it moves, so a frequent pattern is as many rows as its columns have values."""
     words = _words(docs)
     if column == "value":
         words = _among(words, column, wanted)
     rows = words.withColumn("pattern", F.explode("patterns"))
     if column != "value":
         rows = _among(rows, column, wanted)
-    rows = rows.select(*{column: 0, **dict.fromkeys(columns)}).distinct()
-    return stage(rows.join(wanted.select(column), column, "left_semi").select(*columns).distinct())
+    columns = {column: F.col(column)} | columns
+    rows = stage(rows.select(*[c.alias(name) for name, c in columns.items()]).distinct())  # else the join would be moved before it
+    return rows.join(wanted.select(column), column, "left_semi")
 
 
 def seed(value: Column) -> Column:
@@ -163,8 +166,8 @@ def _scored(edges: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
         scores = stage(fitted(scores.unionByName(fitted(lifted, n)).groupBy("value").agg(F.max("score").alias("score")), scores.count() + n))
 
 
-def bootstrap(docs: DataFrame, cues: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Confident patterns: ``(pattern, confidence, values)``.
+def bootstrap(docs: DataFrame, cues: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confident patterns ``(pattern, confidence, values)`` and the places ``(pattern, content, at)`` of words in listed patterns.
 
     The graph has an edge for each distinct (pattern, value), both hashes. ``cues(pattern, value)`` are all edges of
     the patterns that are a cue; ``seeds(value, score)`` are the values known at first: what a base kind finds
@@ -173,30 +176,47 @@ def bootstrap(docs: DataFrame, cues: DataFrame, seeds: DataFrame) -> DataFrame:
     noisy-or of the confident patterns that hold it, if that is more. A pattern counts with at least ``SUPPORT``
     distinct values.
 
-    Values of a score induce patterns of running text (``AROUND``): one pass finds the patterns around all of them,
-    another all values in those patterns. A pattern whose known values could not make it confident if it held no
-    other is passed over until it has more of them, which changes no result, as other values only lower its mean.
-    This goes on until no pattern is new.
+    Values of a score induce patterns of running text (``AROUND``): one pass finds the patterns around all of them. A
+    pattern whose known values could not make it confident if it held no other is passed over until it has more of
+    them; of the others the values in one document of ``SHARE`` are counted, which never exceeds their number, and
+    those that this bound rules out, frequent contexts above all, are passed over as well. Only the rest is listed, with
+    all values and places in all documents. None of this changes a result, as other values only lower a mean. It goes on until
+    no pattern is listed anew.
     """
     edges = stage(cues.select("pattern", "value").distinct())
     scores = stage(seeds.where("score > 0").groupBy("value").agg(F.max("score").alias("score")))
     scanned, seen, complete = scores.select("value").limit(0), edges.limit(0), edges.select("pattern").limit(0)
+    bounds = edges.select("pattern", F.lit(0).cast("long").alias("bound")).limit(0)
+    places = edges.select("pattern", F.col("value").alias("content"), F.lit(0).alias("at")).limit(0)
+    of_value, place = {"value": F.col("value")}, {"content": F.col("content"), "at": F.col("at")}
+    some = docs.where(F.pmod(content_hash(), F.lit(SHARE)) == 0)
     while True:
         patterns, scores = _scored(edges, scores)
-        fresh = stage(scores.select("value").join(scanned, "value", "left_anti"))
+        known = scores.count()
+        fresh = stage(fitted(scores.select("value").join(scanned, "value", "left_anti"), known))
         if not fresh.isEmpty():
-            seen, scanned = seen.unionByName(_held(docs, "value", fresh, "pattern", "value")), scanned.unionByName(fresh)
-        best = seen.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("values"))
-        best = best.where(F.col("sum") >= CONFIDENT * (F.greatest("values", F.lit(SUPPORT)) + DOUBT) - 1e-9).select("pattern")
-        new = stage(best.join(complete, "pattern", "left_anti"))
+            seen, scanned = seen.unionByName(_held(docs, "value", fresh, {"pattern": F.col("pattern")})), scanned.unionByName(fresh)
+        around = seen.count()
+        best = fitted(seen.join(scores, "value"), around).groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("values"))
+        best = best.where(F.col("sum") >= CONFIDENT * (F.greatest("values", F.lit(SUPPORT)) + DOUBT) - 1e-9)
+        best = stage(fitted(fitted(best, around).join(complete, "pattern", "left_anti"), around))
+        left = best.count()
+        unbound = stage(fitted(best.select("pattern").join(bounds, "pattern", "left_anti"), left))
+        if not unbound.isEmpty():
+            counted = _held(some, "pattern", unbound, of_value).groupBy("pattern").agg(F.count(F.lit(1)).alias("bound"))
+            counted = fitted(unbound.join(counted, "pattern", "left"), left).select("pattern", F.coalesce("bound", F.lit(0).cast("long")).alias("bound"))
+            bounds = bounds.unionByName(stage(counted))
+        new = stage(fitted(best.join(bounds, "pattern"), left).where(F.col("sum") >= CONFIDENT * (F.col("bound") + DOUBT) - 1e-9).select("pattern"))
         if new.isEmpty():
-            return patterns
-        edges, complete = edges.unionByName(_held(docs, "pattern", new, "pattern", "value")), complete.unionByName(new)
+            return patterns, places
+        listed = _held(docs, "pattern", new, of_value | place)
+        edges, complete = edges.unionByName(stage(listed.select("pattern", "value").distinct())), complete.unionByName(new)
+        places = places.unionByName(listed.select("pattern", "content", "at"))
 
 
-def _running(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``(doc_id, content, start, end)`` of the words of running text in a trusted pattern."""
-    hits = _held(docs, "pattern", trusted, "content", "at")
+def _running(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(doc_id, content, start, end)`` of the words of running text at ``hits(content, at)``."""
+    hits = stage(hits.distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
     some = _among(docs.select("doc_id", content_hash().alias("content"), text.alias("text")), "content", hits)
     word = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"), F.split("text", WORD, -1).alias("gap"))
@@ -221,9 +241,10 @@ def spans(docs: DataFrame) -> DataFrame:
     pattern = F.xxhash64(F.lit(len(AROUND)), F.concat(F.lower(word), F.trim(mark)))
     cue = stage(cue.select("doc_id", "content", pattern.alias("pattern"), F.xxhash64(value).alias("value"), seed(value).alias("score"), (F.col("end") - quoted).alias("start"), "end"))
     seeds = cue.select("value", "score").unionByName(base.select(F.xxhash64("found").alias("value"), F.lit(1.0).alias("score")))
-    trusted = stage(bootstrap(docs, cue, seeds).select("pattern"))
+    trusted, places = bootstrap(docs, cue, seeds)
+    trusted = stage(trusted.select("pattern"))
     more = cue.join(trusted, "pattern", "left_semi").select("doc_id", "content", "start", "end")
-    running = trusted.join(cue, "pattern", "left_anti")
+    running = places.join(trusted, "pattern", "left_semi").select("content", "at")
     if not running.isEmpty():
         more = more.unionByName(_running(docs, running))
     covered = F.max("end").over(W.partitionBy("doc_id", "content").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1))
