@@ -132,6 +132,16 @@ def _features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
+def _holders(found: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """How many documents hold each bucket, counted for some hundred documents at a time; ``document`` of each word ascends."""
+    held = np.zeros(BUCKETS, np.int64)
+    edges = np.searchsorted(document, np.arange(0, (document[-1] if len(document) else -1) + 201, 200))
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = np.unique(document[a:b, None].astype(np.int64) * BUCKETS + found[a:b])
+        held += np.bincount(own % BUCKETS, minlength=BUCKETS)
+    return held
+
+
 def fit(
     texts: Sequence[tuple[str, int]], groups: Sequence[Sequence[str]] = IDENTITY, penalty: float = 1.0, inserted: int = 100, rounds: int = 60, rate: float = 0.25, decay: float = 1e-5,
 ) -> Model:
@@ -149,14 +159,15 @@ def fit(
     n, docs = len(document), len(labels)
     swaps = Swaps(found, groups, inserted, penalty)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (docs - labels.sum())) * docs
-    size = found.shape[1]
-    flat = found.reshape(-1)
+    columns = found.T.copy()  # one feature of all words at a time: a pass holds one number a word, not one a feature
     weights, bias, speed, speed_b = np.zeros(BUCKETS), -2.0, np.zeros(BUCKETS), 0.0
     # a bucket's step shrinks with the share of documents that hold it, so that common words stay stable
-    holds = np.unique(np.repeat(document[sentence].astype(np.int64), size) * BUCKETS + flat) % BUCKETS
-    step = rate / (np.bincount(holds, minlength=BUCKETS) / docs + 0.05)
+    step = rate / (_holders(found, document[sentence]) / docs + 0.05)
     for turn in range(rounds):
-        logit = np.bincount(sentence, weights[found].sum(1), minlength=n) + bias
+        worth = np.zeros(len(sentence))
+        for column in columns:
+            worth += weights[column]
+        logit = np.bincount(sentence, worth, minlength=n) + bias
         top = np.full(docs, -np.inf)
         np.maximum.at(top, document, logit)
         heat = 0.5 + 4.0 * turn / rounds
@@ -165,8 +176,10 @@ def fit(
         score = 1 / (1 + np.exp(-np.clip(np.bincount(document, attention * logit, minlength=docs), -40, 40)))
         error = share * (score - labels) / docs
         slope = attention * error[document]
-        gradient = np.bincount(flat, np.repeat(slope[sentence], size), minlength=BUCKETS)
-        gradient += decay * weights
+        gradient = decay * weights
+        each = slope[sentence]
+        for column in columns:
+            gradient += np.bincount(column, each, minlength=BUCKETS)
         speed, speed_b = 0.9 * speed - step * gradient, 0.9 * speed_b - rate * slope.sum()
         weights, bias = weights + speed, bias + speed_b
         swaps.settle(weights)
