@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsync.llm.flat import Spans, flatten, slices
+from textsync.llm.pii import _among
 from textsync.session import stage
 
 #: Bytes of an anchor; bytes compared by the shallow sort; text bytes anchored and suffixes sorted together.
@@ -303,9 +304,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucketed(texts: DataFrame, name: str, buckets: int) -> DataFrame:
-    """Write by the texts' hashes once, so that the later joins by text move no text."""
+    """Write by the texts' hashes once, so that the later joins by text move no text.
+
+    ``texts`` come from an aggregation by these hashes, which deals rows out as the buckets do: nothing moves again."""
     spark = texts.sparkSession
-    texts.repartition(buckets, "one", "two").write.option("compression", "zstd").bucketBy(buckets, "one", "two").format("parquet").saveAsTable(name)
+    texts.write.option("compression", "zstd").bucketBy(buckets, "one", "two").format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
@@ -349,7 +352,7 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     where = F.xxhash64("one", "two", F.shiftright("run", 16))
     keys = found.groupBy("key").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     keys = stage(keys.select("key", "n"))
-    runs = found.join(keys, "key").groupBy("one", "two").agg(F.collect_list(F.struct("run", "key", "n")).alias("runs"))
+    runs = _among(found, "key", keys).join(keys, "key").groupBy("one", "two").agg(F.collect_list(F.struct("run", "key", "n")).alias("runs"))
     held = texts.select("one", "two", "text").join(runs, ["one", "two"])
 
     def contents(which: str) -> DataFrame:
