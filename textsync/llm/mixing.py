@@ -102,8 +102,16 @@ def _by_group(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as :func:`mix` emits it, with the columns of ``docs``."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), row.alias("_whole"))
-    counted = mix(kept, **options).where("copies > 0")
-    return counted.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_whole.*")
+    """The mix itself: every row of ``docs`` as often as :func:`mix` emits it, with the columns of ``docs``.
+
+    Ids, sources and sizes alone are mixed, and the rows meet what was dealt to their id and a hash of the whole row, so that texts
+    are moved once at most. What was dealt to equal rows is emitted from one of them."""
+    keyed = docs.withColumn("_own", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    narrow = keyed.select("doc_id", "source", "_own", word_count(F.col("text")).alias("_words"))
+    counted = mix(narrow, size=F.col("_words"), **options).groupBy(F.col("doc_id").alias("_id"), F.col("_own").alias("_hash"))
+    dealt = stage(counted.agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+    held = lambda some: keyed.join(dealt.where(some), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    found = held("_rows = 1")
+    if not dealt.where("_rows > 1").isEmpty():
+        found = found.unionByName(held("_rows > 1").dropDuplicates(["doc_id", "_own"]))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

@@ -20,8 +20,8 @@ BANDS, PLACES = 42, 6
 CHUNK, TOGETHER = 1 << 20, 1 << 14
 #: Documents of one side of a block comparison; shingles of a block that are counted together.
 BLOCK, COLUMNS = 512, 4096
-#: Pairs of full sets that one task compares at least.
-PAIRS = 2_000
+#: Pairs of full sets that one task compares at least, unless these sets have more shingles.
+PAIRS, SHINGLES = 2_000, 1_000_000
 #: Bits of the map of ids that full sets are wanted of.
 MAP = 1 << 25
 
@@ -203,7 +203,9 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Sizes of both full sets and of what they share."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = fitted(fitted(pairs.join(a, "a"), pairs.count(), PAIRS).join(b, "b"), pairs.count(), PAIRS)
+    rows, shingles, held = pairs.count(), *sets.agg(F.sum(F.size("shingles")), F.count(F.lit(1))).first()
+    each = max(1, min(PAIRS, SHINGLES * held // max(1, shingles or 0)))
+    both = fitted(fitted(pairs.join(a, "a"), rows, each).join(b, "b"), rows, each)
     return stage(both.select("a", "b", "m", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from textsync.llm.graph import fitted
+from textsync.llm.sieve import parted
 from textsync.session import stage
 
 #: Base kinds in their order. They find what [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+,
@@ -256,17 +257,19 @@ def per_document(docs: DataFrame) -> DataFrame:
     """Every row of ``docs(doc_id, text, ...)`` with ``spans array<struct<start,place,end,kind,from>>`` in order.
 
     ``place`` is the kind's place in ``KINDS``, ``from`` where the part of the span begins that no earlier span
-    covers. A column named ``spans`` is replaced."""
+    covers. A column named ``spans`` is replaced. Rows without a span are not moved, but for a few."""
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     found = spans(docs.select("doc_id", "text")).withColumn("place", place)
     order = W.partitionBy("doc_id", "content").orderBy("start", "place", "end")
     covered = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("from", F.greatest("start", F.coalesce(covered, F.lit(0))))
     listed = found.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "from"))).alias("_spans"))
-    rows = docs.drop("spans").withColumn("_own", content_hash())
-    joined = rows.join(listed, rows["doc_id"].eqNullSafe(listed["_id"]) & (rows["_own"] == listed["_content"]), "left")
+    listed = stage(listed)
+    marked, others = parted(docs.drop("spans").withColumn("_own", content_hash()), "_own", listed.select(F.col("_content").alias("_own")))
+    joined = marked.join(listed, marked["doc_id"].eqNullSafe(listed["_id"]) & (marked["_own"] == listed["_content"]), "left")
     empty = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string,from:bigint>>")
-    return joined.withColumn("spans", F.coalesce("_spans", empty)).drop("_own", "_id", "_content", "_spans")
+    found = joined.withColumn("spans", F.coalesce("_spans", empty)).drop("_own", "_id", "_content", "_spans")
+    return found.unionByName(others.withColumn("spans", empty).drop("_own"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
