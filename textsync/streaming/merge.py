@@ -67,8 +67,9 @@ def _merge(timeout_ms: int | None):
         done = failed or (total is not None and at >= total)
         if not done and timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        out = pd.DataFrame(rows, columns=columns)
-        yield out.astype({c: "Int64" for c in ("seg", "chunk_idx", "start_ms", "end_ms")})
+        if rows:
+            whole = ("seg", "chunk_idx", "start_ms", "end_ms")
+            yield pd.DataFrame({c: pd.array(values, "Int64") if c in whole else list(values) for c, values in zip(columns, zip(*rows))})
 
     return merge
 
@@ -116,15 +117,17 @@ def stream_align(merged: DataFrame, sections: DataFrame, segments_path: str, ali
         known = spark.read.schema(schema).parquet(segments_path).where(F.col("bucket").isin(wanted))
         ready = stage(known.join(finished, "book_id", "left_semi").select("book_id", "seg", "start_ms", "end_ms", "text"))
         books = stage(sections.join(finished, "book_id", "left_semi"))
-        due = book_fingerprints(ready, books)
+        due = prints = stage(book_fingerprints(ready, books))
         if exists(spark, ledger_path):
             held = spark.read.schema("book_id bigint, fingerprint string, epoch bigint").parquet(ledger_path)
-            due = due.join(held.select("book_id", "fingerprint").distinct(), ["book_id", "fingerprint"], "left_anti")
-        due = stage(due)
-        if due.isEmpty():
+            due = stage(prints.join(held.select("book_id", "fingerprint").distinct(), ["book_id", "fingerprint"], "left_anti"))
+        number = due.count()
+        if not number:
             return
-        fresh = lambda rows: rows.join(due.select("book_id"), "book_id", "left_semi")
-        align_segments(fresh(ready), fresh(books)).write.mode("overwrite").parquet(f"{alignment_path}/epoch={epoch}")
+        if number < prints.count():  # else texts stay where they are
+            fresh = lambda rows: stage(rows.join(due.select("book_id"), "book_id", "left_semi"))
+            ready, books = fresh(ready), fresh(books)
+        align_segments(ready, books).write.mode("overwrite").parquet(f"{alignment_path}/epoch={epoch}")
         due.write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}")
 
     query = merged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
