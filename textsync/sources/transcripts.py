@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsync.functions.text import NOT_ALNUM, fold_case, trim_space
+from textsync.session import stage
 
 # The accepted language, silence markers, tail slack (ms) and chunk limit (ms).
 LANGUAGE = "en"
@@ -19,10 +20,14 @@ SEGMENT_JSON = (
 )
 
 
-def _quarantine(rows: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
+def _quarantine(rows: DataFrame, reason, read: dict) -> tuple[DataFrame, DataFrame]:
+    """What was ``read`` of accepted results, and the rejected ones. They are parsed and judged once and staged: a condition on parsed
+    values would be moved before the parser, which then runs for every value that it names."""
     marked = rows.withColumn("reason", reason)
-    bad = marked.where("reason is not null").select("book_id", "chunk_idx", "reason", "json")
-    return marked.where("reason is null"), bad
+    good = F.col("reason").isNull()
+    kept = {"json": F.when(~good, F.col("json"))} | {name: F.when(good, value) for name, value in read.items()}
+    marked = stage(marked.select("book_id", "chunk_idx", "duration_ms", "reason", *[value.alias(name) for name, value in kept.items()]))
+    return marked.where("reason is null"), marked.where("reason is not null").select("book_id", "chunk_idx", "reason", "json")
 
 
 def read_word_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +46,11 @@ def read_word_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(blank & (count > 0), "words_without_text")
         .when(blank, F.lit(None))
         .when((language == "") | (count == 0), "text_without_words")
-        .when(same(spelled) != same(F.col("r.text")), "words_incomplete")
+        # what differs in spaces alone needs no folding
+        .when((F.replace("r.text", F.lit(" "), F.lit("")) != spelled) & (same(spelled) != same(F.col("r.text"))), "words_incomplete")
     )
-    good, bad = _quarantine(parsed, reason)
-    words = good.select("book_id", "chunk_idx", "duration_ms", language.alias("language"), F.posexplode("r.words").alias("pos", "w"))
+    good, bad = _quarantine(parsed, reason, {"language": language, "words": F.col("r.words")})
+    words = good.select("book_id", "chunk_idx", "duration_ms", "language", F.posexplode("words").alias("pos", "w"))
     return words.select("book_id", "chunk_idx", "pos", "w.word", "w.start", "w.end", "w.probability", "duration_ms", "language"), bad
 
 
@@ -62,7 +68,7 @@ def read_segment_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(other, F.lit(True)), "language")
         .when(outside, "outside_chunk")
     )
-    good, bad = _quarantine(parsed, reason)
+    good, bad = _quarantine(parsed, reason, {"spoken": F.col("spoken")})
     segs = good.select("book_id", "chunk_idx", "duration_ms", F.posexplode("spoken").alias("at", "s"))
     pos = F.row_number().over(Window.partitionBy("book_id", "chunk_idx").orderBy("at")) - 1
     return segs.select(
